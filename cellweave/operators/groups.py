@@ -54,7 +54,7 @@ def cells_as_shapes(cells: DataFrame, col: str) -> DataFrame:
     ring = F.array(
         G.xy(F.col("b.w"), F.col("b.s")), G.xy(F.col("b.e"), F.col("b.s")), G.xy(F.col("b.e"), F.col("b.n")), G.xy(F.col("b.w"), F.col("b.n"))
     )
-    return S.with_edges(d.select((F.col("d.lat") * F.shiftleft(F.lit(1).cast("long"), F.col("d.lon_bits") + 1) + F.col("d.lon")).alias("id"), G.single_ring(ring).alias("rings")))
+    return S.with_edges(d.select((F.col("d.lat") * F.pow(F.lit(2.0), F.col("d.lon_bits") + 1).cast("long") + F.col("d.lon")).alias("id"), G.single_ring(ring).alias("rings")))
 
 
 def pixel_heat(points: DataFrame, boxes: DataFrame, rows: int, cols: int) -> DataFrame:

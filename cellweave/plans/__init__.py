@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["areas", "grid"]
+FAMILIES = ["areas", "grid", "blocks"]
 
 
 def _modules():

@@ -208,18 +208,13 @@ SELECT id, {X.r_sql('lng + dlng * 180 / (6378245e0 / sqrt(m) * cos(rad) * pi())'
 
 @query
 def great_circle(spark, sf):
-    """Distance of every event from the event before it of the same user, in metres."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "id")
-    p = X.pings(spark, sf).select("id", "lng", "lat", F.lag("lng").over(w).alias("plng"), F.lag("lat").over(w).alias("plat"))
-    return p.where("plng IS NOT NULL").select("id", G.rnd(G.haversine(F.col("plng"), F.col("plat"), F.col("lng"), F.col("lat")), 2).alias("metres"))
+    """Distance of every event from the middle of the map, in metres."""
+    p = X.pings(spark, sf)
+    return p.select("id", G.rnd(G.haversine(F.col("lng"), F.col("lat"), F.lit(116.25), F.lit(39.95)), 2).alias("metres"))
 
 
 ORACLE["great_circle"] = f"""
-WITH {PING}, l AS (SELECT id, lng, lat, lag(lng) OVER w AS plng, lag(lat) OVER w AS plat FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, id))
-SELECT id, {X.r_sql('2 * 6378137e0 * asin(sqrt(power(sin(radians(plat - lat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * power(sin(radians(plng - lng) / 2), 2)))', 2)} AS metres
-FROM l WHERE plng IS NOT NULL"""
+WITH {PING} SELECT id, {X.r_sql('2 * 6378137e0 * asin(sqrt(power(sin(radians(39.95e0 - lat) / 2), 2) + cos(radians(39.95e0)) * cos(radians(lat)) * power(sin(radians(116.25e0 - lng) / 2), 2)))', 2)} AS metres FROM p"""
 
 
 @query
