@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["areas", "grid", "blocks"]
+FAMILIES = ["areas", "grid", "blocks", "release", "flows", "texts"]
 
 
 def _modules():
