@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
+from ..session import each
 from .components import connected_components
 
 
@@ -24,8 +25,9 @@ def polyfill_runs(shapes: DataFrame, c: float, keep: list[str] | None = None) ->
     ).where("iy IS NOT NULL").withColumn("yc", (F.col("iy") + 0.5) * c)
     cut = F.filter("edges", lambda e: (e["y1"] > F.col("yc")) != (e["y2"] > F.col("yc")))
     xs = F.array_sort(F.transform(cut, lambda e: (e["x2"] - e["x1"]) * (F.col("yc") - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]))
-    rows = rows.select("id", *keep, "iy", F.transform(xs, lambda x: F.ceil(x / c - 0.5)).alias("xs")).where(F.size("xs") > 1)
-    r = rows.select("id", *keep, "iy", "xs", F.explode(F.sequence(F.lit(0), F.size("xs") - 2, F.lit(2))).alias("i"))
+    rows = rows.select("id", *keep, "iy", F.transform(xs, lambda x: F.ceil(x / c - 0.5)).alias("xs"))
+    pairs = F.when(F.size("xs") > 1, F.sequence(F.lit(0), F.size("xs") - 2, F.lit(2)))
+    r = each(rows, ["id", *keep, "iy", "xs"], pairs, "i")
     r = r.select("id", *keep, "iy", F.get("xs", F.col("i")).alias("x0"), (F.get("xs", F.col("i") + 1) - 1).alias("x1"))
     return r.where("x0 <= x1")
 

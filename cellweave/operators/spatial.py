@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..session import stage
+from ..session import each, stage
 
 BASE_CELL = 0.0005
 STEP = 8
@@ -31,7 +31,7 @@ def shapes(df: DataFrame, id_col: str, wkt_col: str, keep: list[str] | None = No
     keep = keep or []
     # The generator parses once, and drops the rows without a valid outline.
     good = F.filter(F.array(G.parse_polygon(F.col(wkt_col))), lambda r: G.is_valid_rings(F.col(wkt_col), r))
-    return stage(with_edges(df.select(F.col(id_col).alias("id"), *keep, F.explode(good).alias("rings"))), "shapes")
+    return stage(with_edges(each(df, [F.col(id_col).alias("id"), *keep], good, "rings")), "shapes")
 
 
 def with_edges(df: DataFrame) -> DataFrame:
@@ -146,8 +146,8 @@ def edge_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, strips: bool
     mid = (F.col("l_ymin") + F.col("l_ymax") + F.col("r_ymin") + F.col("r_ymax")) / 4
     kx = (F.cos(F.radians(mid)) * G.METRES_PER_DEGREE).alias("kx")
     p = p.select("l_id", "r_id", "ox", "oy", kx, ea.alias("ea"), eb.alias("eb"))
-    p = p.select("l_id", "r_id", "ox", "oy", "kx", "eb", F.explode("ea").alias("a"))
-    p = p.select("l_id", "r_id", "ox", "oy", "kx", "a", F.explode("eb").alias("b"))
+    p = each(p, ["l_id", "r_id", "ox", "oy", "kx", "eb"], F.col("ea"), "a")
+    p = each(p, ["l_id", "r_id", "ox", "oy", "kx", "a"], F.col("eb"), "b")
     return p.select(
         "l_id", "r_id", "kx",
         *[(F.col(f"{s}.{c}") - F.col("ox" if c[0] == "x" else "oy")).alias(f"{s}{c}") for s in "ab" for c in ("x1", "y1", "x2", "y2")],
@@ -376,7 +376,7 @@ def crossing_areas(segments: DataFrame, areas: DataFrame) -> DataFrame:
     ends = inside_expr(F.col("edges"), F.col("sx1"), F.col("sy1")) | inside_expr(F.col("edges"), F.col("sx2"), F.col("sy2"))
     p = p.where(~ends)
     # With both ends outside, the segment meets the area only where it meets the outline.
-    p = p.select("l_id", "r_id", "sx1", "sy1", "sx2", "sy2", F.explode("edges").alias("b"))
+    p = each(p, ["l_id", "r_id", "sx1", "sy1", "sx2", "sy2"], F.col("edges"), "b")
     p = p.select(
         "l_id", "r_id",
         F.lit(0.0).alias("ax1"), F.lit(0.0).alias("ay1"), (F.col("sx2") - F.col("sx1")).alias("ax2"), (F.col("sy2") - F.col("sy1")).alias("ay2"),

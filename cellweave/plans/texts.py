@@ -153,16 +153,16 @@ def settle_infer(spark, sf):
     """The third of total and shares, where one of them is missing."""
     o = X.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     k = F.col("o_orderkey") % 4
-    o = o.select("o_orderkey", F.when(k != 0, F.col("o_totalprice")).alias("y"), F.when(k != 1, F.round(F.col("o_totalprice") * 0.25, 2)).alias("y1"),
-                 F.when(k == 3, F.col("o_totalprice") + 1).when(k != 2, F.col("o_totalprice") - F.round(F.col("o_totalprice") * 0.25, 2)).alias("y2"))
+    o = o.select("o_orderkey", F.when(k != 0, F.col("o_totalprice")).alias("y"), F.when(k != 1, (F.floor(F.col("o_totalprice") * 25) / 100)).alias("y1"),
+                 F.when(k == 3, F.col("o_totalprice") + 1).when(k != 2, F.col("o_totalprice") - (F.floor(F.col("o_totalprice") * 25) / 100)).alias("y2"))
     o = o.withColumn("y1", F.when(k == 3, F.lit(None)).otherwise(F.col("y1")))
     i = ledger.infer_third(o)
-    return i.select("o_orderkey", *[G.rnd(F.col(c), 1).alias(c) for c in ("y", "y1", "y2")])
+    return i.select("o_orderkey", *[G.rnd(F.col(c), 2).alias(c) for c in ("y", "y1", "y2")])
 
 
-ORACLE["settle_infer"] = f"""WITH o AS (SELECT o_orderkey, o_orderkey % 4 AS k, o_totalprice AS t, round(o_totalprice * 0.25e0, 2) AS q FROM orders)
-SELECT o_orderkey, {X.r_sql('t', 1)} AS y, CASE WHEN k = 3 THEN NULL ELSE {X.r_sql('CASE WHEN k = 1 THEN t - (t - q) ELSE q END', 1)} END AS y1,
-  {X.r_sql('CASE WHEN k = 3 THEN t + 1 ELSE t - q END', 1)} AS y2 FROM o"""
+ORACLE["settle_infer"] = f"""WITH o AS (SELECT o_orderkey, o_orderkey % 4 AS k, o_totalprice AS t, floor(o_totalprice * 25) / 100e0 AS q FROM orders)
+SELECT o_orderkey, {X.r_sql('t', 2)} AS y, CASE WHEN k = 3 THEN NULL ELSE {X.r_sql('CASE WHEN k = 1 THEN t - (t - q) ELSE q END', 2)} END AS y1,
+  {X.r_sql('CASE WHEN k = 3 THEN t + 1 ELSE t - q END', 2)} AS y2 FROM o"""
 
 PLACE_SQL = """
 SELECT s_suppkey AS id, s_name || '（' || n_name || '）' AS display, CAST(n_nationkey AS BIGINT) AS k, n_name AS place,

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "cellweave", master: str | None = None, **conf) -> SparkSession:
@@ -58,3 +59,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def each(df: DataFrame, keep: list, items: Column, name: str, pos: str | None = None) -> DataFrame:
+    """One row per item of an array.
+
+    The outer generator plus a null test does what ``explode`` does, but the optimizer adds
+    no ``size(items) > 0`` filter, which it would push down and so compute a costly array twice.
+    """
+    gen = F.posexplode_outer(items).alias(pos, name) if pos else F.explode_outer(items).alias(name)
+    return df.select(*keep, gen).where(F.col(name).isNotNull())
