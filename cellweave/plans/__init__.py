@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["areas", "grid", "blocks", "release", "flows", "texts", "repair"]
+FAMILIES = ["areas", "grid", "blocks", "release", "flows", "texts", "repair", "tables", "learning"]
 
 
 def _modules():
