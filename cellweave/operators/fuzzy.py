@@ -13,14 +13,15 @@ def fuzzy_pairs(df: DataFrame, block: str, name: str) -> DataFrame:
     same place, so both are joined on those keys; equal names are folded first. Exact, and
     the rows per name grow with its length, never with the block.
     """
-    names = df.select(block, F.col(name).alias("s")).distinct()
-    n = F.length("s")
+    names = df.select(block, F.col(name).alias("_s")).distinct()
+    n = F.length("_s")
     cut = F.transform(
         F.sequence(F.lit(1), n),
-        lambda i: F.struct(i.alias("at"), F.concat(F.substring(F.col("s"), F.lit(1), i - 1), F.substring(F.col("s"), i + 1, n)).alias("k")),
+        lambda i: F.struct(i.alias("at"), F.concat(F.substring(F.col("_s"), F.lit(1), i - 1), F.substring(F.col("_s"), i + 1, n)).alias("hole")),
     )
-    holes = names.where(n > 0).select(block, "s", F.explode(cut).alias("v")).select(block, "s", "v.at", "v.k")
-    a = holes.select(block, F.col("s").alias("a"), "at", "k")
-    replaced = a.join(holes.select(block, F.col("s").alias("b"), "at", "k"), [block, "at", "k"]).where("a < b").select(block, "a", "b")
-    shorter = a.drop("at").join(names.select(block, F.col("s").alias("k")), [block, "k"]).select(block, F.least("a", "k").alias("a"), F.greatest("a", "k").alias("b"))
+    holes = names.where(n > 0).select(block, "_s", F.explode(cut).alias("_v")).select(block, "_s", F.col("_v.at").alias("_at"), F.col("_v.hole").alias("_hole"))
+    a = holes.select(block, F.col("_s").alias("a"), "_at", "_hole")
+    b = holes.select(block, F.col("_s").alias("b"), "_at", "_hole")
+    replaced = a.join(b, [block, "_at", "_hole"]).where("a < b").select(block, "a", "b")
+    shorter = a.join(names.withColumnRenamed("_s", "_hole"), [block, "_hole"]).select(block, F.least("a", "_hole").alias("a"), F.greatest("a", "_hole").alias("b"))
     return replaced.unionByName(shorter).distinct().withColumn("distance", F.levenshtein("a", "b").cast("long"))

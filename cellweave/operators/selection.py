@@ -74,10 +74,13 @@ def select_flows(df: DataFrame, group: str, variant: str = "circle") -> DataFram
         group, (F.col("min_gain") - F.coalesce("fg", F.lit(0.0))).alias("need_g"),
         (F.col("min_n") - F.coalesce("fn", F.lit(0))).alias("lo"), (F.col("max_n") - F.coalesce("fn", F.lit(0))).alias("hi"),
     )
-    none = need.select(group, F.lit(0).alias("k"), F.lit(0).alias("pos"), F.lit(0.0).alias("cc"), F.lit(0).alias("cn"), F.lit(0.0).alias("cg"))
-    tried = s.select(group, "k", "pos", "cc", "cn", "cg").unionByName(none)
-    ok = tried.join(need, group).where("cg >= need_g AND cn BETWEEN lo AND hi")
-    best = ok.groupBy(group).agg(F.min_by(F.struct("k", "pos"), F.struct("cc", "k", "pos")).alias("b")).select(group, "b.*")
+    ok = s.join(need, group).where("cg >= need_g AND cn BETWEEN lo AND hi")
+    first = ok.groupBy(group).agg(F.min_by(F.struct("k", "pos", "cc"), F.struct("cc", "k", "pos")).alias("b"))
+    # Choosing no free row at all may already do.
+    empty = (F.col("need_g") <= 0) & (F.col("lo") <= 0) & (F.col("hi") >= 0) & F.coalesce(F.col("b.cc") >= 0, F.lit(True))
+    zero = F.struct(F.lit(0).alias("k"), F.lit(0).alias("pos"))
+    best = need.join(first, group, "left").select(group, F.when(empty, zero).otherwise(F.struct("b.k", "b.pos")).alias("b"))
+    best = best.select(group, "b.*").where("pos IS NOT NULL")
     chosen = s.select(group, "k", "cb", "gb", F.col("pos").alias("p")).join(best, [group, "k"]).where("p <= pos").select(group, "cb", "gb", F.lit(1).alias("hit"))
     rows = free.select(*d.columns, "cb", "gb").join(chosen, [group, "cb", "gb"], "left").select(*d.columns, "hit")
     rest = d.where("flow_class <> 0").withColumn("hit", F.when(F.col("flow_class") == 1, 1))

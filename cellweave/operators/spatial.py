@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..session import each, stage
+from ..session import each, spread, stage
 
 BASE_CELL = 0.0005
 STEP = 8
@@ -30,6 +30,7 @@ def shapes(df: DataFrame, id_col: str, wkt_col: str, keep: list[str] | None = No
     """
     keep = keep or []
     # The generator parses once, and drops the rows without a valid outline.
+    df = spread(df)
     good = F.filter(F.array(G.parse_polygon(F.col(wkt_col))), lambda r: G.is_valid_rings(F.col(wkt_col), r))
     return stage(with_edges(each(df, [F.col(id_col).alias("id"), *keep], good, "rings")), "shapes")
 

@@ -52,12 +52,11 @@ def _limits_sql(gain, lo, hi):
 @query
 def selection_limits(spark, sf):
     f = flows(spark, sf)
-    out = None
-    for v in ("circle", "distance"):
-        r = E.limits(f, "city_id", v).select(
-            "city_id", F.lit(v).alias("variant"), "base_n", G.rnd(F.col("base_gain"), 2).alias("base_gain"), G.rnd(F.col("min_gain"), 4).alias("min_gain"), "min_n", "max_n")
-        out = r if out is None else out.unionByName(r)
-    return out
+    both = E.limits(f, "city_id", "circle").join(E.limits(f, "city_id", "distance").select("city_id", F.struct("min_gain", "min_n", "max_n").alias("d")), "city_id")
+    one = F.struct(F.lit("circle").alias("variant"), F.struct("min_gain", "min_n", "max_n").alias("v"))
+    two = F.struct(F.lit("distance").alias("variant"), F.col("d").alias("v"))
+    return both.select("city_id", "base_n", G.rnd(F.col("base_gain"), 2).alias("base_gain"), F.explode(F.array(one, two)).alias("x")).select(
+        "city_id", "x.variant", "base_n", "base_gain", G.rnd(F.col("x.v.min_gain"), 4).alias("min_gain"), "x.v.min_n", "x.v.max_n")
 
 
 ORACLE["selection_limits"] = f"WITH {FLOW} " + " UNION ALL ".join(

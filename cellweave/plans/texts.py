@@ -8,6 +8,7 @@ from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import fuzzy, ledger, places
 from ..operators import groups as R
+from ..session import spread
 from . import fixtures as X
 
 QUERIES, ORACLE = {}, {}
@@ -34,7 +35,7 @@ TXT = f"x AS ({X.for_oracle(text_sql('VARCHAR'))})"
 
 
 def texts(spark, sf):
-    return X.run(spark, sf, text_sql("STRING"))
+    return spread(X.run(spark, sf, text_sql("STRING")))
 
 
 # The same text taken apart for checking: the fixture's numerals have known values.
@@ -180,9 +181,10 @@ def place_rows(spark, sf):
 @query
 def coord_lookup(spark, sf):
     """Places with coordinates, and those whose key is missing (status)."""
-    found, missing = R.lookup(*place_rows(spark, sf), "k")
-    return found.select("id", "lng", "lat", F.lit("found").alias("status")).unionByName(
-        missing.select("id", F.lit(-1.0).alias("lng"), F.lit(-1.0).alias("lat"), F.lit("missing").alias("status")))
+    p, c = place_rows(spark, sf)
+    j = p.join(c, "k", "left")
+    status = F.when(F.col("lng").isNull(), "missing").otherwise("found")
+    return j.select("id", F.coalesce("lng", F.lit(-1.0)).alias("lng"), F.coalesce("lat", F.lit(-1.0)).alias("lat"), status.alias("status"))
 
 
 ORACLE["coord_lookup"] = f"WITH {PLACE} SELECT p.id, coalesce(lng, -1) AS lng, coalesce(lat, -1) AS lat, CASE WHEN c.k IS NULL THEN 'missing' ELSE 'found' END AS status FROM p LEFT JOIN c ON c.k = p.k"

@@ -17,6 +17,8 @@ def get_session(app: str = "cellweave", master: str | None = None, **conf) -> Sp
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        # A union must not promise a common partitioning that a skew split then breaks.
+        .config("spark.sql.unionOutputPartitioning", "false")
     )
     if master:
         b = b.master(master)
@@ -69,3 +71,9 @@ def each(df: DataFrame, keep: list, items: Column, name: str, pos: str | None =
     """
     gen = F.posexplode_outer(items).alias(pos, name) if pos else F.explode_outer(items).alias(name)
     return df.select(*keep, gen).where(F.col(name).isNotNull())
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work when the input is fewer files than cores; large inputs stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if len(df.inputFiles()) < n else df
