@@ -267,19 +267,20 @@ def pair_distance(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFr
     """``(l_id, r_id, inter, l_area, r_area, dist_degree, dist_meter)`` for pairs with ``l_area`` and ``r_area``.
 
     Metres are local: longitudes are scaled by the cosine of the pair's mid latitude
-    (that of the two boxes). Touching or overlapping shapes have distance 0. Distances and
-    common area come out of one pass over the edge pairs.
+    (that of the two boxes). Touching or overlapping shapes have distance 0; they are among
+    the few pairs whose boxes overlap, so only those get the area pass. Keeping that out of
+    the distance pass also keeps its generated code small enough to be compiled.
     """
-    e = _with_strips(edge_pairs(pairs, left, right, strips=False))
+    e = edge_pairs(pairs, left, right, strips=False)
     e = _point_segment(e, "1D", "1D", "dd")
     e = _point_segment(e, "kx", repr(G.METRES_PER_DEGREE) + "D", "dm")
-    d = e.groupBy("l_id", "r_id").agg(
-        F.expr(f"sum({_STRIP_AREA})").alias("inter"),
-        F.min(F.when(F.col("touch"), 0.0).otherwise(F.col("dd"))).alias("dd"),
-        F.min(F.when(F.col("touch"), 0.0).otherwise(F.col("dm"))).alias("dm"),
-    )
-    r = pairs.select("l_id", "r_id", "l_area", "r_area").join(d, ["l_id", "r_id"])
-    inside = F.col("inter") > F.least("l_area", "r_area") * 1e-9
+    d = e.groupBy("l_id", "r_id").agg(F.min("dd").alias("dd"), F.min("dm").alias("dm"))
+    boxed = candidates(left, right).join(pairs.select("l_id", "r_id"), ["l_id", "r_id"], "left_semi")
+    o = overlap(boxed, left, right)
+    r = pairs.select("l_id", "r_id", "l_area", "r_area").join(d, ["l_id", "r_id"]).join(o, ["l_id", "r_id"], "left")
+    r = r.withColumn("inter", F.coalesce("inter", F.lit(0.0)))
+    r = r.withColumn("meet", F.coalesce("touch", F.lit(False)) | (F.col("inter") > F.least("l_area", "r_area") * 1e-9))
+    inside = F.col("meet")
     return r.select(
         "l_id", "r_id", F.greatest("inter", F.lit(0.0)).alias("inter"), "l_area", "r_area",
         F.when(inside, 0.0).otherwise(F.sqrt("dd")).alias("dist_degree"),
