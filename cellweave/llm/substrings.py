@@ -78,16 +78,24 @@ def _unpack(payload: bytes, tool) -> tuple[np.ndarray, bytes]:
     return header, raw[at:]
 
 
-def bundles(docs: DataFrame, length: int, buckets: int) -> DataFrame:
+def bundles(docs: DataFrame, length: int, buckets: int, flush: int = 12 << 20, memory: int = 150_000) -> DataFrame:
     """Documents (doc, text) to payloads by bucket of the anchor: each run's bytes, once per batch.
 
-    A run that equals one of a smaller (doc, start) in the batch is known to repeat throughout: it travels as a range
+    Payloads leave after ``flush`` bytes of runs, and at most ``memory`` runs are remembered. A run that equals one of a smaller (doc, start) in the batch is known to repeat throughout: it travels as a range
     only (size 0 bytes, its window count in ``off``), dealt out evenly.
     """
 
     def run(batches):
         tool, powers = zstandard.ZstdCompressor(level=3), Powers()
         schema = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
+
+        def packed(out, known):
+            rows = [(k, _pack(np.concatenate([x for x, _ in v]), b"".join([y for _, y in v]), tool)) for k, v in out.items()]
+            if sum(map(len, known)):
+                every = merge(np.concatenate(known), length)
+                rows.append((int(every["doc"][0]) % buckets, _pack(every, b"", tool)))
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], schema=schema)
+
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), utf8(batch.column(1))
             order = np.argsort(ids, kind="stable").tolist()
@@ -95,7 +103,8 @@ def bundles(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             seen: dict[bytes, None] = {}
             out: dict[int, list] = {}
             known = []
-            for a, b in chunks(texts, 8 << 20):
+            held = 0
+            for a, b in chunks(texts, 2 << 20):
                 joined = b"".join(texts[a:b])
                 begin = np.concatenate([[0], np.cumsum([len(t) for t in texts[a:b]])]).astype(np.int64)
                 if len(joined) < length:
@@ -127,13 +136,13 @@ def bundles(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                     if part.size:
                         blob = b"".join([joined[p:q] for p, q in zip(first[part].tolist(), (last[part] + length).tolist())])
                         out.setdefault(int(bucket[part[0]]), []).append((h[part], blob))
-                if sum(len(x) for x in seen) > 0 and len(seen) > 400_000:
+                        held += len(blob)
+                if held > flush:
+                    yield packed(out, [])
+                    out, held = {}, 0
+                if len(seen) > memory:
                     seen.clear()
-            rows = [(k, _pack(np.concatenate([x for x, _ in v]), b"".join([y for _, y in v]), tool)) for k, v in out.items()]
-            if known and sum(map(len, known)):
-                every = merge(np.concatenate(known), length)
-                rows.append((int(ids[0]) % buckets, _pack(every, b"", tool)))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], schema=schema)
+            yield packed(out, known)
 
     return docs.select("doc", "text").mapInArrow(run, BUNDLE)
 
@@ -305,7 +314,7 @@ def ranges(packed: DataFrame, length: int, buckets: int, limit: int) -> DataFram
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, RANGES)
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 8 << 20, limit: int = 64 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 6 << 20, limit: int = 48 << 20) -> DataFrame:
     """Remove each byte that a string of ``length`` bytes covers which also starts earlier (smaller id, or same id and
     earlier start). Per row: id, n_bytes, n_removed, n_spans, kept_sha256 and ``kept`` (the bytes that remain).
 
