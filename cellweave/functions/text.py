@@ -17,6 +17,8 @@ NUMERAL_UNITS = "十百千万亿"
 _DIGITS = "".join(k for k, v in NUMERAL_VALUES.items() if v < 10)
 _DIGIT_VALUES = "".join(str(v) for v in NUMERAL_VALUES.values() if v < 10)
 
+_WIDE = "decimal(38,0)"
+
 # Runs kept as words: 2 to 50 Chinese characters, letters, digits or underscores.
 WORD = r"[一-龥_a-zA-Z0-9]{2,50}"
 
@@ -25,31 +27,31 @@ def _numeral_value(token: Column) -> Column:
     """Value of a numeral run with a unit character, read from the right.
 
     A unit scales the digits to its left; a smaller unit further left multiplies it. A
-    unit at the very start counts as one of itself when it is the largest so far.
+    unit at the very start counts as one of itself when it is the largest so far. Null
+    beyond 38 digits.
     """
-    values = F.lit(None).cast("long")
-    state0 = F.struct(F.lit(0).cast("long").alias("total"), F.lit(1).cast("long").alias("unit"))
-    table = F.create_map(*[x for k, v in NUMERAL_VALUES.items() for x in (F.lit(k), F.lit(v).cast("long"))])
+    state0 = F.struct(F.lit(0).cast(_WIDE).alias("total"), F.lit(1).cast(_WIDE).alias("unit"))
+    table = F.create_map(*[x for k, v in NUMERAL_VALUES.items() for x in (F.lit(k), F.lit(v).cast(_WIDE))])
     chars = F.reverse(F.split(token, ""))
     coded = F.transform(chars, lambda ch, i: F.struct(F.element_at(table, ch).alias("v"), (i == F.length(token) - 1).alias("lead")))
 
     def step(s, ch):
         v = ch["v"]
         is_unit = v >= 10
-        grown = F.when(v > s["unit"], v).otherwise(s["unit"] * v)
+        grown = F.when(v > s["unit"], v).otherwise(F.try_multiply(s["unit"], v).cast(_WIDE))
         return F.struct(
-            F.when(is_unit, s["total"] + F.when(ch["lead"] & (v > s["unit"]), v).otherwise(0)).otherwise(s["total"] + s["unit"] * v).alias("total"),
+            F.try_add(s["total"], F.when(~is_unit, F.try_multiply(s["unit"], v)).when(ch["lead"] & (v > s["unit"]), v).otherwise(F.lit(0)).cast(_WIDE)).cast(_WIDE).alias("total"),
             F.when(is_unit, grown).otherwise(s["unit"]).alias("unit"),
         )
 
-    return F.coalesce(F.aggregate(coded, state0, step, lambda s: s["total"]), values)
+    return F.aggregate(coded, state0, step, lambda s: F.when(s["unit"].isNotNull(), s["total"]))
 
 
 def cn_digits(c: Column) -> Column:
     """Replace numeral runs inside text by Arabic digits.
 
     The text is cut into numeral runs and the rest by one pattern; runs without a unit are
-    spelled out digit by digit, leading zeros dropped.
+    spelled out digit by digit, leading zeros dropped; a run worth more than 38 digits stays.
     """
     number = f"[{NUMERAL_START}][{NUMERAL_MORE}]*"
     other = f"[^{NUMERAL_START}]+"
@@ -59,7 +61,7 @@ def cn_digits(c: Column) -> Column:
         digits = F.regexp_replace(F.translate(p, _DIGITS, _DIGIT_VALUES), "^0+(?=.)", "")
         return (
             F.when(~p.rlike(f"^[{NUMERAL_START}]"), p)
-            .when(p.rlike(f"[{NUMERAL_UNITS}]"), _numeral_value(p).cast("string"))
+            .when(p.rlike(f"[{NUMERAL_UNITS}]"), F.coalesce(_numeral_value(p).cast("string"), p))
             .otherwise(digits)
         )
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
@@ -78,19 +76,12 @@ def argmax(df: DataFrame, key: str, by: list[Column], cols: list[str]) -> DataFr
 
 
 def kth_largest(df: DataFrame, key: str, value: str, k: int) -> DataFrame:
-    """The k-th largest distinct value per key.
+    """The k-th largest value per key, equal values counted each; keys of fewer values have none.
 
-    Instead of ranking a whole group in one task, the largest value below the last one is
-    taken k - 1 times: each step is a partial aggregate, so a hot key never gathers.
+    A filter on the row number lets Spark keep only k rows of a key in each task before the shuffle.
     """
-    distinct = df.select(key, value).distinct()
-
-    def below(prev: DataFrame) -> DataFrame:
-        lower = distinct.join(prev.withColumnRenamed(value, "_last"), key).where(F.col(value) < F.col("_last"))
-        return lower.groupBy(key).agg(F.max(value).alias(value))
-
-    top = distinct.groupBy(key).agg(F.max(value).alias(value))
-    return reduce(lambda d, _: below(d), range(k - 1), top)
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col(value).desc()))
+    return df.where(F.col(value).isNotNull()).select(key, value, place.alias("_place")).where(F.col("_place") == k).drop("_place")
 
 
 def distinct_keys(df: DataFrame, *keys: str) -> DataFrame:

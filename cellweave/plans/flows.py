@@ -111,7 +111,7 @@ def kth_largest(spark, sf):
     return k.select("city_id", G.rnd(F.col("gain"), 2).alias("gain"))
 
 
-ORACLE["kth_largest"] = f"""WITH {FLOW} SELECT city_id, {X.r_sql('gain', 2)} AS gain FROM (SELECT DISTINCT city_id, gain, dense_rank() OVER (PARTITION BY city_id ORDER BY gain DESC) AS k FROM f) t WHERE k = 3"""
+ORACLE["kth_largest"] = f"""WITH {FLOW} SELECT city_id, {X.r_sql('gain', 2)} AS gain FROM (SELECT city_id, gain, row_number() OVER (PARTITION BY city_id ORDER BY gain DESC) AS k FROM f WHERE gain IS NOT NULL) t WHERE k = 3"""
 
 
 @query

@@ -35,7 +35,7 @@ def copy_table(spark: SparkSession, src: DataFrame, path: str, cols: list[str])
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = "\t", defaults: dict | None = None) -> DataFrame:
     """Delimited text with a header; columns the files do not have are added with their defaults."""
-    d = spark.read.csv(path, sep=sep, header=True, schema=schema, mode="PERMISSIVE", enforceSchema=False)
+    d = spark.read.csv(path, sep=sep, header=True, schema=schema, mode="PERMISSIVE", enforceSchema=False, quote="")
     for name, value in (defaults or {}).items():
         d = d.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in d.columns else F.lit(value))
     return d
@@ -52,7 +52,7 @@ def read_training_text(spark: SparkSession, path: str, schema: T.StructType) ->
 def read_wide(spark: SparkSession, path: str, width: int, fields: dict[str, tuple[int, str]]) -> DataFrame:
     """Wide tab-separated text by position: only the named fields are converted."""
     schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(width)])
-    d = spark.read.csv(path, sep="\t", schema=schema)
+    d = spark.read.csv(path, sep="\t", schema=schema, quote="")
     return d.select(*[F.col(f"_{i}").try_cast(t).alias(name) for name, (i, t) in fields.items()])
 
 
@@ -99,14 +99,15 @@ def link_text(attrs: Column) -> Column:
     return F.concat_ws(" ", at("highway", ""), at("name", ""), at("oneway", "no"), at("divider", "no"))
 
 
-def append_fixes(df: DataFrame, path: str) -> None:
-    """Append corrections (aoi_id, aoi_name, polygon_str, fix_polygon_str); every file has its header."""
-    df.write.mode("append").csv(path, sep="\t", header=True)
+def append_fixes(df: DataFrame, path: str, batch: int) -> None:
+    """Append corrections (aoi_id, aoi_name, polygon_str, fix_polygon_str) with their batch number; every file has its header."""
+    df.withColumn("batch", F.lit(batch).cast("long")).write.mode("append").csv(path, sep="\t", header=True, quote="")
 
 
 def apply_fixes(df: DataFrame, fixes: DataFrame, key: str) -> DataFrame:
-    """Set ``fix_polygon_str`` and ``fix`` = 1 for corrected rows; the latest text wins per key."""
-    f = fixes.groupBy(key).agg(F.max("fix_polygon_str").alias("_new"))
+    """Set ``fix_polygon_str`` and ``fix`` = 1 for corrected rows; the text of the latest batch wins per key
+    (the greater text within one batch)."""
+    f = fixes.groupBy(key).agg(F.max_by("fix_polygon_str", F.struct("batch", "fix_polygon_str")).alias("_new"))
     j = df.join(f, key, "left")
     done = F.col("_new").isNotNull()
     return j.select(

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cellweave.functions.text import cn_digits
 from cellweave.learn import metrics as M
 from cellweave.operators import fuzzy, ledger, places
 from cellweave.operators import groups as R
@@ -97,7 +98,8 @@ def test_settlement_example(spark):
 
 def test_kth_and_argmax(spark):
     d = spark.createDataFrame([("a", v) for v in (5, 5, 4, 3, 3)] + [("b", 1)], "k string, v int")
-    assert {r.k: r.v for r in R.kth_largest(d, "k", "v", 2).collect()} == {"a": 4}
+    assert {r.k: r.v for r in R.kth_largest(d, "k", "v", 2).collect()} == {"a": 5}
+    assert {r.k: r.v for r in R.kth_largest(d, "k", "v", 3).collect()} == {"a": 4}
     assert {r.k: r.v for r in R.argmax(d, "k", [F.col("v")], ["k", "v"]).collect()} == {"a": 5, "b": 1}
 
 
@@ -157,3 +159,9 @@ def test_auc_with_ties_and_one_class(spark):
     d = spark.createDataFrame([("a", 1, 0.5), ("a", 0, 0.5), ("a", 1, 0.9), ("a", 0, 0.1), ("b", 1, 0.3), ("b", 1, 0.4)], "m string, label int, p double")
     r = {x.m: x.auc for x in M.auc(d, "m").collect()}
     assert r["a"] == pytest.approx(3.5 / 4) and r["b"] is None
+
+
+def test_numerals_beyond_64_bits(spark):
+    d = spark.createDataFrame([("一亿亿亿",), ("一亿亿亿亿亿亿",), ("三百二十五号",), (None,)], "t string")
+    got = [r[0] for r in d.select(cn_digits(F.col("t"))).collect()]
+    assert got == ["1" + "0" * 24, "一亿亿亿亿亿亿", "325号", None]
