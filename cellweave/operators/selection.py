@@ -1,10 +1,9 @@
-"""Constrained selection of flows per group, as grouped aggregates over all groups at once.
+"""Constrained selection of flows per group, for all groups at once.
 
-Every row has a cost and a gain when chosen. A group must reach a gain, within a band of
-counts, at least cost. Rows of a group are first reduced to a grid of at most BINS x BINS
-cells of similar (cost, gain) with exact sums; for each of ANGLES trade-offs the cells are
-ranked and the shortest feasible prefix is taken; the cheapest trade-off wins. Windows see
-cells, never rows, so a hot group is as cheap as any other, and the limits hold exactly.
+A row has a cost and a gain if chosen, and may have others if not. A group must reach a gain, within a band of
+counts, at least cost. For a number of trade-offs between cost and gain the free rows of a group are ranked, and
+the cheapest prefix that meets all limits is found; later rounds look closer around the best trade-off. Running sums
+are two-phase over range partitions, so no group has to fit one task.
 """
 
 from __future__ import annotations
@@ -14,8 +13,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 64
-ANGLES = 33
+from ..session import cut_lineage, stage
 
 # Lowest gain over base gain, and the count band, per variant.
 LIMITS = {"circle": (1.005, 0.95, 1.10), "distance": (1.003, 0.90, 1.10)}
@@ -48,51 +46,100 @@ def limits(df: DataFrame, group: str, variant: str) -> DataFrame:
     )
 
 
-def select_flows(df: DataFrame, group: str, variant: str = "circle") -> DataFrame:
-    """Add ``is_selected``: 1 or 0, or -1 for all rows of a group without a feasible choice."""
-    d = classify_flows(df, variant)
-    lim = limits(df, group, variant)
-    fixed = d.where("flow_class = 1").groupBy(group).agg(F.count("*").alias("fn"), F.sum("gain").alias("fg"))
-    free = d.where("flow_class = 0")
-    span = free.groupBy(group).agg(F.max("cost").alias("cmax"), F.max("gain").alias("gmax"), F.min("cost").alias("cmin"), F.min("gain").alias("gmin"))
-
-    def bin_of(v, lo, hi):
-        width = F.col(hi) - F.col(lo)
-        return F.when(width > 0, F.least(F.floor((F.col(v) - F.col(lo)) / width * BINS), F.lit(BINS - 1))).otherwise(0).cast("long")
-
-    free = free.join(span, group).withColumn("cb", bin_of("cost", "cmin", "cmax")).withColumn("gb", bin_of("gain", "gmin", "gmax"))
-    cells = free.groupBy(group, "cb", "gb").agg(F.count("*").alias("n"), F.sum("cost").alias("c"), F.sum("gain").alias("g"))
-    angles = F.explode(F.sequence(F.lit(0), F.lit(ANGLES - 1))).alias("k")
-    s = cells.select("*", angles)
-    turn = F.col("k") * (math.pi / 2 / (ANGLES - 1))
-    s = s.withColumn("score", F.cos(turn) * (F.col("c") / F.col("n")) / F.greatest(F.lit(1e-12), F.max("c").over(Window.partitionBy(group, "k")))
-                     - F.sin(turn) * F.col("gb") / BINS)
-    w = Window.partitionBy(group, "k").orderBy("score", "cb", "gb").rowsBetween(Window.unboundedPreceding, 0)
-    s = s.select(group, "k", "cb", "gb", F.row_number().over(Window.partitionBy(group, "k").orderBy("score", "cb", "gb")).alias("pos"),
-                 F.sum("n").over(w).alias("cn"), F.sum("c").over(w).alias("cc"), F.sum("g").over(w).alias("cg"))
-    need = lim.where("base_gain > 0").join(fixed, group, "left").select(
-        group, (F.col("min_gain") - F.coalesce("fg", F.lit(0.0))).alias("need_g"),
-        (F.col("min_n") - F.coalesce("fn", F.lit(0))).alias("lo"), (F.col("max_n") - F.coalesce("fn", F.lit(0))).alias("hi"),
+def _arms(df: DataFrame, arm0: tuple[str, str] | None) -> DataFrame:
+    """Add what a row costs and gains if not chosen (nothing, unless ``arm0`` names columns)."""
+    c, g = (F.col(arm0[0]), F.col(arm0[1])) if arm0 else (F.lit(0.0), F.lit(0.0))
+    return df.withColumn("_c0", c.cast("double")).withColumn("_g0", g.cast("double"))
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
+    """Running sums per key in a total order, without gathering a key: ``sums`` maps new columns to summed ones.
+
+    Rows are range-partitioned by key and order; a row adds its sum inside the partition to the totals of the same key
+    in earlier partitions.
+    """
+    d = df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+    d = stage(d, "ranges")
+    totals = d.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "_part", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.select("*", *[F.sum(c).over(inside).alias(f"_i_{n}") for n, c in sums.items()]).join(totals, [*keys, "_part"])
+    return d.select(*df.columns, *[(F.col(f"_i_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums])
+
+
+def _prefixes(free: DataFrame, group: str, turns: DataFrame) -> DataFrame:
+    """Free rows with their place, cost and gain up to them, for each trade-off (group, turn)."""
+    d = free.join(turns, group)
+    score = F.cos("turn") * F.col("c") / F.col("cs") - F.sin("turn") * F.col("g") / F.col("gs")
+    d = d.select(group, "turn", "_row", "c", "g", score.alias("score"), F.lit(1).cast("long").alias("one"))
+    return running(d, [group, "turn"], ["score", "_row"], {"pos": "one", "cc": "c", "cg": "g"})
+
+
+def select_flows(df: DataFrame, group: str, variant: str = "circle", arm0: tuple[str, str] | None = None, turns: int = 17, rounds: int = 3) -> DataFrame:
+    """Add ``flow_class``, ``is_selected``, ``bound`` and ``gap``.
+
+    ``is_selected``: 1 or 0, or -1 for all rows of a group that no choice of rows satisfies. That is exact: the last
+    trade-off looks at gain only, so its prefixes have the greatest gain of their length. ``bound``: no choice of the group
+    costs less (Lagrangian bound over the trade-offs seen); ``gap``: what the choice costs above it. Both are null where
+    there is no choice. ``arm0`` names the columns of cost and gain of a row that is not chosen; without it they are 0.
+    ``turns`` and ``rounds`` set how finely trade-offs are searched.
+    """
+    d = stage(_arms(classify_flows(df, variant), arm0).withColumn("_row", F.monotonically_increasing_id()), "flows")
+    lim = limits(d, group, variant)
+    fixed = d.groupBy(group).agg(
+        F.sum(F.when(F.col("flow_class") == 1, 1).otherwise(0)).alias("fn"),
+        F.sum(F.when(F.col("flow_class") == 1, F.col("gain")).otherwise(F.col("_g0"))).cast("double").alias("fg"),
+        F.sum(F.when(F.col("flow_class") == 1, F.col("cost")).otherwise(F.col("_c0"))).cast("double").alias("fc"),
+        F.max(F.when(F.col("flow_class") == 0, F.abs(F.col("cost") - F.col("_c0")))).alias("cs"),
+        F.max(F.when(F.col("flow_class") == 0, F.abs(F.col("gain") - F.col("_g0")))).alias("gs"),
     )
-    ok = s.join(need, group).where("cg >= need_g AND cn BETWEEN lo AND hi")
-    first = ok.groupBy(group).agg(F.min_by(F.struct("k", "pos", "cc"), F.struct("cc", "k", "pos")).alias("b"))
-    # Choosing no free row at all may already do.
-    empty = (F.col("need_g") <= 0) & (F.col("lo") <= 0) & (F.col("hi") >= 0) & F.coalesce(F.col("b.cc") >= 0, F.lit(True))
-    zero = F.struct(F.lit(0).alias("k"), F.lit(0).alias("pos"))
-    best = need.join(first, group, "left").select(group, F.when(empty, zero).otherwise(F.struct("b.k", "b.pos")).alias("b"))
-    best = best.select(group, "b.*").where("pos IS NOT NULL")
-    chosen = s.select(group, "k", "cb", "gb", F.col("pos").alias("p")).join(best, [group, "k"]).where("p <= pos").select(group, "cb", "gb", F.lit(1).alias("hit"))
-    rows = free.select(*d.columns, "cb", "gb").join(chosen, [group, "cb", "gb"], "left").select(*d.columns, "hit")
-    rest = d.where("flow_class <> 0").withColumn("hit", F.when(F.col("flow_class") == 1, 1))
-    every = rows.unionByName(rest).join(best.select(group, F.lit(True).alias("feasible")), group, "left")
-    return every.select(*df.columns, "flow_class", F.when(F.col("feasible"), F.coalesce("hit", F.lit(0))).otherwise(-1).cast("long").alias("is_selected"))
-
-
-def audit_selection(df: DataFrame, group: str, variant: str, chosen: str = "is_selected") -> DataFrame:
+    positive = {n: F.when(F.col(n) > 0, F.col(n)).otherwise(1.0).alias(n) for n in ("cs", "gs")}
+    # The sums of the audit run in another order; the margin keeps a rounding error from breaking a limit.
+    need = cut_lineage(lim.where("base_gain > 0").join(fixed, group).select(
+        group, (F.col("min_gain") + F.abs("min_gain") * 1e-12 - F.col("fg")).alias("need"), (F.col("min_n") - F.col("fn")).alias("lo"),
+        (F.col("max_n") - F.col("fn")).alias("hi"), "fc", *positive.values(),
+    ))
+    free = d.where("flow_class = 0").join(need.select(group, "cs", "gs"), group).select(
+        group, "_row", (F.col("cost") - F.col("_c0")).cast("double").alias("c"), (F.col("gain") - F.col("_g0")).cast("double").alias("g"), "cs", "gs")
+    free = stage(free, "free")
+    # Choosing no free row may do already; it is also a choice that bounds may not overlook.
+    none = (F.col("lo") <= 0) & (F.col("hi") >= 0)
+    best = need.select(group, F.lit(0.0).alias("turn"), F.lit(0).cast("long").alias("pos"), F.when(none & (F.col("need") <= 0), 0.0).alias("cc"), F.lit(None).cast("double").alias("bound"))
+    span = need.select(group, F.lit(0.0).alias("first"), F.lit(math.pi / 2).alias("last"))
+    for _ in range(rounds):
+        step = (F.col("last") - F.col("first")) / (turns - 1)
+        at = span.select(group, step.alias("step"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(turns - 1)), lambda k: F.when(k == turns - 1, F.col("last")).otherwise(F.col("first") + k * step))).alias("turn"))
+        at = cut_lineage(at)
+        fits = _prefixes(free, group, at.select(group, "turn")).join(need, group).where("pos BETWEEN lo AND hi")
+        price = F.tan("turn") * F.col("cs") / F.col("gs")
+        seen = fits.groupBy(group, "turn").agg(
+            F.min_by(F.struct("pos", "cc"), F.when(F.col("cg") >= F.col("need"), F.struct("cc", "pos"))).alias("b"),
+            F.min(F.col("cc") - price * F.col("cg")).alias("low"))
+        seen = at.join(seen, [group, "turn"], "left").join(need, group)
+        low = F.least("low", F.when(none, 0.0)) + price * F.col("need")
+        seen = cut_lineage(seen.select(group, "turn", "step", "b.pos", "b.cc", F.when(F.col("turn") < math.pi / 2, low).alias("bound")))
+        both = seen.drop("step").unionByName(best)
+        best = cut_lineage(both.groupBy(group).agg(
+            F.min_by(F.struct("turn", "pos", "cc"), F.when(F.col("cc").isNotNull(), F.struct("cc", "turn", "pos"))).alias("b"), F.max("bound").alias("bound"),
+        ).select(group, "b.*", "bound"))
+        near = seen.where("cc IS NOT NULL").groupBy(group).agg(F.min_by(F.struct("turn", "step"), F.struct("cc", "turn")).alias("x"))
+        span = near.select(group, F.greatest(F.lit(0.0), F.col("x.turn") - F.col("x.step")).alias("first"), F.least(F.lit(math.pi / 2), F.col("x.turn") + F.col("x.step")).alias("last"))
+    best = best.where("cc IS NOT NULL")
+    ranked = _prefixes(free, group, best.select(group, "turn"))
+    hits = ranked.join(best.select(group, F.col("pos").alias("_k")), group).where("pos <= _k").select("_row", F.lit(1).alias("_hit"))
+    ends = best.join(need.select(group, "fc"), group).select(group, (F.col("bound") + F.col("fc")).alias("bound"), (F.col("cc") - F.col("bound")).alias("gap"), F.lit(True).alias("_ok"))
+    every = d.join(hits, "_row", "left").join(ends, group, "left")
+    chosen = F.when(F.col("flow_class") == 1, 1).otherwise(F.coalesce("_hit", F.lit(0)))
+    return every.select(*df.columns, "flow_class", F.when(F.col("_ok"), chosen).otherwise(-1).cast("long").alias("is_selected"), "bound", "gap")
+
+
+def audit_selection(df: DataFrame, group: str, variant: str, chosen: str = "is_selected", arm0: tuple[str, str] | None = None) -> DataFrame:
     """Per group: cost, gain and count of the chosen rows, their changes, and whether all limits hold."""
     on = F.col(chosen) == 1
+    df = _arms(df, arm0)
     a = df.groupBy(group).agg(
-        F.sum(F.when(on, F.col("cost")).otherwise(0.0)).alias("cost"), F.sum(F.when(on, F.col("gain")).otherwise(0.0)).alias("gain"),
+        F.sum(F.when(on, F.col("cost")).otherwise(F.col("_c0"))).alias("cost"), F.sum(F.when(on, F.col("gain")).otherwise(F.col("_g0"))).alias("gain"),
         F.sum(F.when(on, 1).otherwise(0)).alias("n"),
     )
     r = a.join(limits(df, group, variant), group)

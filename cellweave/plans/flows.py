@@ -104,6 +104,30 @@ def selection_distance(spark, sf):
     return s.select("city_id", "poi_id", "aoi_id", "base_set", "candidate_set", "is_selected")
 
 
+def _check_query(variant):
+    """Per city: whether there is a choice, and whether the choice made keeps all limits and lies above its bound."""
+    def check(spark, sf):
+        s = E.stage(E.select_flows(flows(spark, sf), "city_id", variant), "selection")
+        per = s.groupBy("city_id").agg(F.min("is_selected").alias("least"), F.min(F.coalesce("gap", F.lit(0.0))).alias("gap"))
+        a = E.audit_selection(s, "city_id", variant).select("city_id", F.col("feasible").alias("kept"))
+        has = F.col("least") >= 0
+        return per.join(a, "city_id").select("city_id", has.alias("feasible"), (~has | (F.col("kept") & (F.col("gap") >= -1e-6))).alias("holds"))
+
+    return check
+
+
+# A city has a choice if its rows of greatest gain, as many as may be chosen and help, reach the least gain.
+_CHECK_SQL = """WITH {flow}, l AS ({limits}), c AS (SELECT *, {cls} AS k FROM f),
+x AS (SELECT city_id, count(*) FILTER (k = 1) AS fn, coalesce(sum(gain) FILTER (k = 1), 0) AS fg, count(*) FILTER (k = 0) AS n0 FROM c GROUP BY 1),
+r AS (SELECT city_id, gain, row_number() OVER (PARTITION BY city_id ORDER BY gain DESC) AS p FROM c WHERE k = 0),
+t AS (SELECT l.city_id, coalesce(sum(gain) FILTER (p <= hi - fn AND (gain > 0 OR p <= lo - fn)), 0) AS g FROM l JOIN x ON x.city_id = l.city_id LEFT JOIN r ON r.city_id = l.city_id GROUP BY 1)
+SELECT l.city_id, bg > 0 AND hi >= fn AND n0 >= lo - fn AND fg + g >= mg AS feasible, true AS holds FROM l JOIN x ON x.city_id = l.city_id JOIN t ON t.city_id = l.city_id"""
+
+for _v, _cls in (("circle", CIRCLE), ("distance", "CASE WHEN navi_cls = 1 THEN 1 WHEN navi_cls = 4 THEN -1 ELSE 0 END")):
+    QUERIES[f"selection_check_{_v}"] = _check_query(_v)
+    ORACLE[f"selection_check_{_v}"] = _CHECK_SQL.format(flow=FLOW, limits=_limits_sql(*E.LIMITS[_v]), cls=_cls)
+
+
 @query
 def kth_largest(spark, sf):
     """Third largest gain per city."""

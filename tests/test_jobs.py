@@ -89,6 +89,49 @@ def test_selection_is_near_the_bound(spark, flows):
     assert cost <= (c0 + best) * 1.10
 
 
+def _flow_rows(spark, rows):
+    """(city, cost, gain, cost0, gain0, base) rows whose class is free."""
+    data = [(c, i, float(a), float(g), float(a0), float(g0), float(g), 2, b, 1) for i, (c, a, g, a0, g0, b) in enumerate(rows)]
+    return spark.createDataFrame(data, "city_id long, aoi_id long, cost double, gain double, cost0 double, gain0 double, base_gain double, navi_cls int, base_set int, candidate_set int")
+
+
+def test_selection_of_equal_rows_and_with_an_outlier(spark):
+    """Limits that need half of equal rows, and one enormous row beside ordinary ones."""
+    equal = [(1, 1, 2, 0, 0, int(i < 100)) for i in range(200)]
+    rng = random.Random(5)
+    far = [(2, rng.random(), rng.random(), 0, 0, i % 2) for i in range(400)] + [(2, 1e6, 1e6, 0, 0, 0)]
+    d = _flow_rows(spark, equal + far)
+    a = {r.city_id: r for r in E.audit_selection(E.select_flows(d, "city_id").persist(), "city_id", "circle").collect()}
+    assert a[1].feasible and a[2].feasible
+    assert a[1].n == 101 and a[2].cost < 1e6
+
+
+def test_selection_with_arms_against_all_subsets(spark):
+    rng = random.Random(6)
+    rows = [(c, rng.randint(1, 20), rng.randint(0, 20), rng.randint(0, 5), rng.randint(0, 3), int(rng.random() < 0.5)) for c in range(8) for _ in range(10)]
+    d = _flow_rows(spark, rows)
+    s = E.select_flows(d, "city_id", arm0=("cost0", "gain0")).persist()
+    kept = {r.city_id: r for r in E.audit_selection(s, "city_id", "circle", arm0=("cost0", "gain0")).collect()}
+    lims = {r.city_id: r for r in E.limits(d, "city_id", "circle").collect()}
+    bounds = {r.city_id: r for r in s.select("city_id", "is_selected", "bound", "gap").collect()}
+    for c in range(8):
+        mine, lim, least = [r for r in rows if r[0] == c], lims[c], None
+        for mask in range(1 << len(mine)):
+            on = [mask >> i & 1 for i in range(len(mine))]
+            cost = sum(r[1] if o else r[3] for r, o in zip(mine, on))
+            gain = sum(r[2] if o else r[4] for r, o in zip(mine, on))
+            if gain >= lim.min_gain and lim.min_n <= sum(on) <= lim.max_n and (least is None or cost < least):
+                least = cost
+        if bounds[c].is_selected == -1:
+            # The relaxation with gain alone is infeasible too.
+            top = sorted((r[2] - r[4] for r in mine), reverse=True)
+            most = max((sum(top[:k]) for k in range(max(0, lim.min_n), min(len(top), lim.max_n) + 1)), default=None)
+            assert least is None and (lim.base_gain == 0 or most is None or most + sum(r[4] for r in mine) < lim.min_gain * (1 + 1e-9))
+        else:
+            assert kept[c].feasible and bounds[c].bound <= least + 1e-6
+            assert least <= kept[c].cost + 1e-9 and abs(kept[c].cost - bounds[c].bound - bounds[c].gap) < 1e-6
+
+
 def test_settlement_example(spark):
     d = spark.createDataFrame([("a", 3000.0, 2000.0, 500.0, 1500.0), ("b", 1000.0, 2000.0, 500.0, 1400.0)], "month string, x double, y double, y1 double, y2 double")
     a, b = ledger.settle(d).orderBy("month").collect()
