@@ -21,6 +21,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = get_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": os.environ.get("BENCH_PARTITIONS", str(2 * int(cpus)) if cpus.isdigit() else "16"),
+        "spark.cellweave.partitions": cpus if cpus.isdigit() else "8",
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g",
     })
     spark.sparkContext.setLogLevel("ERROR")

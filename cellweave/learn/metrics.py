@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+from ..operators.ranges import running
 
 
 def metrics(df: DataFrame, *keys: str, label: str = "label", prob: str = "p") -> DataFrame:
@@ -21,18 +21,14 @@ def metrics(df: DataFrame, *keys: str, label: str = "label", prob: str = "p") ->
 def auc(df: DataFrame, *keys: str, label: str = "label", prob: str = "p") -> DataFrame:
     """Area under the ROC curve, ties counted half, without ranking a whole key in one task.
 
-    Equal scores are folded first. Running counts then come in two steps: totals per score
-    bucket (at most BUCKETS rows per key) and, inside a bucket, per distinct score.
+    Equal scores are folded first; running counts then are two-phase over ranges of the scores.
     """
     ks = list(keys)
     d = df.groupBy(*ks, F.col(prob).alias("p")).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg")
-    ).withColumn("b", F.floor(F.col("p") * BUCKETS))
-    before = Window.partitionBy(*ks).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    base = d.groupBy(*ks, "b").agg(F.sum("neg").alias("bn")).withColumn("base", F.coalesce(F.sum("bn").over(before), F.lit(0)))
-    inside = Window.partitionBy(*ks, "b").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("lower", F.coalesce(F.sum("neg").over(inside), F.lit(0))).join(base.select(*ks, "b", "base"), [*ks, "b"])
-    wins = F.col("pos") * (F.col("base") + F.col("lower") + F.col("neg") / 2)
+    )
+    d = running(d, ks, ["p"], {"upto": "neg"})
+    wins = F.col("pos") * (F.col("upto") - F.col("neg") / 2)
     t = d.groupBy(*ks).agg(F.sum(wins).alias("w"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
     return t.select(*ks, F.try_divide("w", F.col("np") * F.col("nn").cast("double")).alias("auc"))
 

@@ -6,22 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def fuzzy_pairs(df: DataFrame, block: str, name: str) -> DataFrame:
-    """Distinct name pairs ``(block, a, b, distance)`` one edit apart within a block.
+def fuzzy_pairs(df: DataFrame, block: str, name: str, max_dist: int = 1) -> DataFrame:
+    """Distinct name pairs ``(block, a, b, distance)`` at most ``max_dist`` edits apart within a block.
 
-    Two names one edit apart share the name itself or a one-character deletion of it at the
-    same place, so both are joined on those keys; equal names are folded first. Exact, and
-    the rows per name grow with its length, never with the block.
+    Two such names have a common rest after at most ``max_dist`` characters are taken from each, so they are joined on
+    these rests and then compared; equal names are folded first. Exact; the rows per name grow with its length to the
+    power of ``max_dist``, never with the block.
     """
-    names = df.select(block, F.col(name).alias("_s")).distinct()
-    n = F.length("_s")
-    cut = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.struct(i.alias("at"), F.concat(F.substring(F.col("_s"), F.lit(1), i - 1), F.substring(F.col("_s"), i + 1, n)).alias("hole")),
-    )
-    holes = names.where(n > 0).select(block, "_s", F.explode(cut).alias("_v")).select(block, "_s", F.col("_v.at").alias("_at"), F.col("_v.hole").alias("_hole"))
-    a = holes.select(block, F.col("_s").alias("a"), "_at", "_hole")
-    b = holes.select(block, F.col("_s").alias("b"), "_at", "_hole")
-    replaced = a.join(b, [block, "_at", "_hole"]).where("a < b").select(block, "a", "b")
-    shorter = a.join(names.withColumnRenamed("_s", "_hole"), [block, "_hole"]).select(block, F.least("a", "_hole").alias("a"), F.greatest("a", "_hole").alias("b"))
-    return replaced.unionByName(shorter).distinct().withColumn("distance", F.levenshtein("a", "b").cast("long"))
+    names = df.where(F.col(name).isNotNull()).select(block, F.col(name).alias("_s")).distinct()
+    level = names.select(block, "_s", F.col("_s").alias("_rest"), F.lit(1).alias("_at"))
+    rests = level
+    for _ in range(max_dist):
+        # Characters are taken from left to right, so that each set of places comes up once.
+        level = level.where(F.col("_at") <= F.length("_rest")).select(block, "_s", "_rest", F.explode(F.sequence("_at", F.length("_rest"))).alias("_at"))
+        left, right = F.substring("_rest", F.lit(1), F.col("_at") - 1), F.substring("_rest", F.col("_at") + 1, F.length("_rest"))
+        level = level.select(block, "_s", F.concat(left, right).alias("_rest"), "_at")
+        rests = rests.unionByName(level)
+    rests = rests.select(block, "_s", "_rest").distinct()
+    pairs = rests.withColumnRenamed("_s", "a").join(rests.withColumnRenamed("_s", "b"), [block, "_rest"]).where("a < b").select(block, "a", "b").distinct()
+    return pairs.withColumn("distance", F.levenshtein("a", "b").cast("long")).where(F.col("distance") <= max_dist)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+
 
 def _monotone_chain(xy: np.ndarray) -> np.ndarray:
     """Counter-clockwise hull of points, no repeated end."""
@@ -44,19 +46,25 @@ def hull_of(pts: Column) -> Column:
     )[0]
 
 
-def hull(points: DataFrame, key: str, strips: int = 4096) -> DataFrame:
+def hull(points: DataFrame, key: str, part: int = 4096) -> DataFrame:
     """``(key, pts)``: hull of the points (key, x, y) of every key.
 
-    Hulls of vertical strips come first (a fixed number per key), so one task never sees
-    more of a hot key than a strip's lowest and highest point per x, and the last step only
-    the strips' hulls.
+    The hull of a set is the hull of its parts' hulls, for any parts: the points of a key are dealt by hash into parts
+    of about ``part`` points, whatever their places, and what the hulls leave is dealt again until every key is one part.
+    A key whose hull itself has more corners than that ends when a round takes no more points away.
     """
-    span = points.groupBy(key).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    ends = points.groupBy(key, "x").agg(F.min("y").alias("y0"), F.max("y").alias("y1")).join(span, key)
-    strip = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * strips)).otherwise(0).cast("long")
-    ends = ends.select(key, strip.alias("strip"), F.array(F.struct("x", F.col("y0").alias("y")), F.struct("x", F.col("y1").alias("y"))).alias("p"))
-    part = ends.groupBy(key, "strip").agg(F.flatten(F.collect_list("p")).alias("p")).select(key, hull_of(F.col("p")).alias("p"))
-    return part.groupBy(key).agg(F.flatten(F.collect_list("p")).alias("p")).select(key, hull_of(F.col("p")).alias("pts"))
+    p = points.select(key, "x", "y").distinct()
+    left = None
+    while True:
+        p = cut_lineage(p)
+        sizes = p.groupBy(key).agg(F.count("*").alias("_n"))
+        most, n = sizes.agg(F.max("_n"), F.sum("_n")).first()
+        d = p.join(sizes, key).withColumn("_part", F.pmod(F.xxhash64("x", "y"), F.ceil(F.col("_n") / part)))
+        if most is None or most <= part or n == left:
+            return p.groupBy(key).agg(F.collect_list(F.struct("x", "y")).alias("p")).select(key, hull_of(F.col("p")).alias("pts"))
+        left = n
+        hulls = d.groupBy(key, "_part").agg(F.collect_list(F.struct("x", "y")).alias("p")).select(key, hull_of(F.col("p")).alias("p"))
+        p = hulls.select(key, F.explode("p").alias("v")).select(key, "v.x", "v.y")
 
 
 def rotated_rect_area(hull_pts: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import label_of
 from ..session import fresh_path
 from .groups import argmax
+from .ranges import running
 
 TIERS = ["capital", "secondary", "city", "town"]
 
@@ -50,13 +51,12 @@ def duplicate_places(df: DataFrame, coords: list[str], name: str) -> DataFrame:
 
 
 def nest_by(df: DataFrame, key: str, item_cols: list[str], per_row: int = 10000) -> DataFrame:
-    """Nested rows ``(key, chunk, items)``, items in order within a chunk.
+    """Nested rows ``(key, chunk, items)``: chunk 0 holds the first ``per_row`` items of a key, chunk 1 the next, and so on.
 
-    A key with very many items becomes several rows of about ``per_row`` items each, so no
-    task ever holds a whole hot key.
+    Items are in order within and across chunks, and no task holds a whole hot key.
     """
-    n = df.groupBy(key).agg(F.ceil(F.count("*") / per_row).alias("_chunks"))
-    d = df.join(n, key).withColumn("chunk", F.pmod(F.xxhash64(item_cols[0]), F.col("_chunks")))
+    d = running(df.select(key, *item_cols, F.lit(1).cast("long").alias("_one")), [key], item_cols, {"_place": "_one"})
+    d = d.withColumn("chunk", F.floor((F.col("_place") - 1) / per_row))
     return d.groupBy(key, "chunk").agg(F.sort_array(F.collect_list(F.struct(*item_cols))).alias("items"))
 
 

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, stage
+from .ranges import running
 
 # Lowest gain over base gain, and the count band, per variant.
 LIMITS = {"circle": (1.005, 0.95, 1.10), "distance": (1.003, 0.90, 1.10)}
@@ -52,22 +53,6 @@ def _arms(df: DataFrame, arm0: tuple[str, str] | None) -> DataFrame:
     return df.withColumn("_c0", c.cast("double")).withColumn("_g0", g.cast("double"))
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
-    """Running sums per key in a total order, without gathering a key: ``sums`` maps new columns to summed ones.
-
-    Rows are range-partitioned by key and order; a row adds its sum inside the partition to the totals of the same key
-    in earlier partitions.
-    """
-    d = df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
-    d = stage(d, "ranges")
-    totals = d.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, "_part", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
-    inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.select("*", *[F.sum(c).over(inside).alias(f"_i_{n}") for n, c in sums.items()]).join(totals, [*keys, "_part"])
-    return d.select(*df.columns, *[(F.col(f"_i_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums])
-
-
 def _prefixes(free: DataFrame, group: str, turns: DataFrame) -> DataFrame:
     """Free rows with their place, cost and gain up to them, for each trade-off (group, turn)."""
     d = free.join(turns, group)

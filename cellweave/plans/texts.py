@@ -93,15 +93,26 @@ ORACLE["norm_text"] = f"""WITH {DIG}, w AS (SELECT id, {WORDS.format(c='t')} AS
 SELECT id, md5(w) AS h, length(w) AS n, length(v) AS n_width_first FROM w"""
 
 
+def _name_pairs(spark, sf, max_dist):
+    p = X.table(spark, sf, "part").select("p_brand", F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("name"))
+    return fuzzy.fuzzy_pairs(p, "p_brand", "name", max_dist).select(F.col("p_brand").alias("brand"), "a", "b", "distance")
+
+
 @query
 def levenshtein_pairs(spark, sf):
-    """Part names one edit apart within a brand."""
-    p = X.table(spark, sf, "part").select("p_brand", F.concat_ws(" ", F.substring_index("p_name", " ", 2), F.col("p_size").cast("string")).alias("name"))
-    return fuzzy.fuzzy_pairs(p, "p_brand", "name").select(F.col("p_brand").alias("brand"), "a", "b", "distance")
+    """Part names with size one edit apart within a brand."""
+    return _name_pairs(spark, sf, 1)
+
+
+@query
+def levenshtein_pairs_two(spark, sf):
+    """Part names with size at most two edits apart within a brand."""
+    return _name_pairs(spark, sf, 2)
 
 
-ORACLE["levenshtein_pairs"] = """WITH n AS (SELECT DISTINCT p_brand, array_to_string(array_slice(string_split(p_name, ' '), 1, 2), ' ') || ' ' || p_size AS s FROM part)
-SELECT x.p_brand AS brand, x.s AS a, y.s AS b, levenshtein(x.s, y.s) AS distance FROM n x JOIN n y ON x.p_brand = y.p_brand AND x.s < y.s WHERE levenshtein(x.s, y.s) = 1"""
+for _n, _k in (("levenshtein_pairs", 1), ("levenshtein_pairs_two", 2)):
+    ORACLE[_n] = f"""WITH n AS (SELECT DISTINCT p_brand, p_name || ' ' || p_size AS s FROM part)
+SELECT x.p_brand AS brand, x.s AS a, y.s AS b, levenshtein(x.s, y.s) AS distance FROM n x JOIN n y ON x.p_brand = y.p_brand AND x.s < y.s WHERE levenshtein(x.s, y.s) <= {_k}"""
 
 WAYBILL_SQL = """
 SELECT o_orderkey AS platform_order_id, o_custkey AS user_id,
@@ -237,7 +248,9 @@ def nested_periods(spark, sf):
     """Periods with their places nested in order, written as JSON in bounded chunks and read back."""
     p, _ = place_rows(spark, sf)
     back = places.nested_round_trip(p, "period", ["id", "place", "tier"])
-    return back.groupBy("period").agg(F.sum(F.size("items")).alias("n"), F.min(F.col("items")[0]["id"]).alias("first_id"), F.max(F.element_at("items", -1)["id"]).alias("last_id"))
+    items = back.select("period", "chunk", F.posexplode("items").alias("place_in_chunk", "i"))
+    return items.select("period", "chunk", F.col("place_in_chunk").cast("long").alias("place_in_chunk"), "i.id", "i.place", "i.tier")
 
 
-ORACLE["nested_periods"] = f"WITH {PLACE} SELECT period, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM p GROUP BY 1"
+ORACLE["nested_periods"] = f"""WITH {PLACE} SELECT period, (_nth - 1) // 10000 AS chunk, (_nth - 1) % 10000 AS place_in_chunk, id, place, tier
+FROM (SELECT *, row_number() OVER (PARTITION BY period ORDER BY id, place, tier) AS _nth FROM p) t"""

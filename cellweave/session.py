@@ -74,6 +74,6 @@ def each(df: DataFrame, keep: list, items: Column, name: str, pos: str | None =
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when the input is fewer files than cores; large inputs stay as they are."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if len(df.inputFiles()) < n else df
+    """Deal rows to ``spark.cellweave.partitions`` partitions where that is set; otherwise the scan's own splits stay."""
+    n = df.sparkSession.conf.get("spark.cellweave.partitions", None)
+    return df.repartition(int(n)) if n else df

@@ -170,12 +170,20 @@ def test_thinning_keeps_the_shape(spark):
 def test_hull_against_all_lines(spark):
     rng = random.Random(11)
     pts = [(k, rng.uniform(0, 1), rng.uniform(0, 1)) for k in (1, 2) for _ in range(300)]
-    h = {r.k: [(p.x, p.y) for p in r.pts] for r in hulls.hull(spark.createDataFrame(pts, "k long, x double, y double"), "k", strips=8).collect()}
+    h = {r.k: [(p.x, p.y) for p in r.pts] for r in hulls.hull(spark.createDataFrame(pts, "k long, x double, y double"), "k", part=40).collect()}
     for k in (1, 2):
         for (x1, y1), (x2, y2) in zip(h[k], h[k][1:] + h[k][:1]):
             assert all((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) >= -1e-12 for kk, x, y in pts if kk == k)
 
 
+def test_hull_with_a_far_outlier_and_on_a_circle(spark):
+    rng = random.Random(12)
+    far = [(1, rng.random(), rng.random()) for _ in range(2000)] + [(1, 1e9, 0.5)]
+    ring = [(2, math.cos(i), math.sin(i)) for i in range(200)]
+    h = {r.k: [(p.x, p.y) for p in r.pts] for r in hulls.hull(spark.createDataFrame(far + ring, "k long, x double, y double"), "k", part=50).collect()}
+    assert len(h[2]) == 200 and (1e9, 0.5) in h[1] and len(h[1]) < 100
+
+
 def test_identical_pieces_keep_the_smaller_id(spark):
     rows = [(i, square(0, 0, 1)) for i in range(40)] + [(100, square(0.1, 0.1, 0.2)), (101, square(5, 5, 1)), (102, square(5, 5, 1.01))]
     left = [r.id for r in N.drop_covered(shapes(spark, rows)).select("id").collect()]

@@ -162,6 +162,8 @@ def test_fuzzy_against_all_pairs(spark):
     d = spark.createDataFrame([("k", n) for n in names for _ in range(2)], "k string, n string")
     got = {(r.a, r.b) for r in fuzzy.fuzzy_pairs(d, "k", "n").collect()}
     assert got == {(a, b) for a in names for b in names if a < b and lev(a, b) == 1}
+    two = {(r.a, r.b): r.distance for r in fuzzy.fuzzy_pairs(d, "k", "n", 2).collect()}
+    assert two == {(a, b): lev(a, b) for a in names for b in names if a < b and lev(a, b) <= 2}
 
 
 def test_change_log_partitions_the_keys(spark):
