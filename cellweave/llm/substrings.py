@@ -82,7 +82,7 @@ def bundles(docs: DataFrame, length: int, buckets: int, flush: int = 12 << 20, m
     """Documents (doc, text) to payloads by bucket of the anchor: each run's bytes, once per batch.
 
     Payloads leave after ``flush`` bytes of runs, and at most ``memory`` runs are remembered. A run that equals one of a smaller (doc, start) in the batch is known to repeat throughout: it travels as a range
-    only (size 0 bytes, its window count in ``off``), dealt out evenly.
+    only (size 0 bytes, its window count in ``off``), dealt out evenly. One at the same (doc, start), of a row with the same id, is the same run and doesn't travel.
     """
 
     def run(batches):
@@ -100,7 +100,7 @@ def bundles(docs: DataFrame, length: int, buckets: int, flush: int = 12 << 20, m
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), utf8(batch.column(1))
             order = np.argsort(ids, kind="stable").tolist()
             texts, ids = [texts[i] for i in order], ids[order]
-            seen: dict[bytes, None] = {}
+            seen: dict[bytes, int] = {}
             out: dict[int, list] = {}
             known = []
             held = 0
@@ -119,14 +119,15 @@ def bundles(docs: DataFrame, length: int, buckets: int, flush: int = 12 << 20, m
                 bucket = (hashes % np.uint64(buckets)).astype(np.int64)
                 h = np.zeros(len(first), HEADER)
                 h["doc"], h["start"], h["size"], h["off"] = ids[a + own], start, last - first + length, anchor - first
-                fresh = np.ones(len(first), bool)
-                for i, (p, q) in enumerate(zip(first.tolist(), (last + length).tolist())):
-                    c = joined[p:q]
-                    if c in seen:
-                        fresh[i] = False
+                fresh, later = np.ones(len(first), bool), np.zeros(len(first), bool)
+                for i, (p, q, doc, at) in enumerate(zip(first.tolist(), (last + length).tolist(), h["doc"].tolist(), h["start"].tolist())):
+                    c, place = joined[p:q], (doc << 32) + at
+                    least = seen.get(c)
+                    if least is None or place < least:
+                        seen[c] = place
                     else:
-                        seen[c] = None
-                again = h[~fresh]
+                        fresh[i], later[i] = False, place > least
+                again = h[later]
                 again["off"], again["size"] = again["size"] - length + 1, 0
                 known.append(again)
                 pick = np.flatnonzero(fresh)
@@ -162,7 +163,7 @@ def merge(known: np.ndarray, length: int) -> np.ndarray:
 def repeats(header: np.ndarray, blob: bytes, length: int):
     """Windows of these runs that also start earlier among them: (doc, start, n) arrays.
 
-    Equal runs are one, of which the earliest place stays. The others are joined with a 0 after each, sorted by
+    Equal runs are one, of which the earliest place stays, also where rows of one id have it twice. The others are joined with a 0 after each, sorted by
     induced sorting, and neighbours that share ``length`` letters are the places of one window.
     """
     at = np.concatenate([[0], np.cumsum(header["size"].astype(np.int64))])
@@ -181,15 +182,16 @@ def repeats(header: np.ndarray, blob: bytes, length: int):
     # Runs of one seed follow each other, earliest first; equal ones fold into the first.
     reps, first_of, whole = [], {}, []
     before = None
-    for i, s in zip(order.tolist(), k[shared].tolist()):
+    places = zip(header["doc"][order].tolist(), header["start"][order].tolist())
+    for i, s, place in zip(order.tolist(), k[shared].tolist(), places):
         if s != before:
             first_of, before = {}, s
         c = blob[at[i] : at[i + 1]]
-        if c in first_of:
-            whole.append(i)
-        else:
-            first_of[c] = i
+        if c not in first_of:
+            first_of[c] = place
             reps.append((i, s))
+        elif place > first_of[c]:
+            whole.append(i)
     if whole:
         w = header[whole]
         out.append((w["doc"], w["start"], w["size"] - length + 1))

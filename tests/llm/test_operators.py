@@ -198,6 +198,24 @@ def test_repeats_of_edge_cases(edge, none):
     assert removed[6] == (len(LONG), len(LONG)) and removed[1] == (0, 0) and removed[11][1] == 799
 
 
+@pytest.mark.parametrize("limit", [64 << 20, 500])
+@pytest.mark.parametrize("apart", [False, True])
+def test_repeats_leave_equal_rows_alone(spark, limit, apart):
+    rng = np.random.default_rng(4)
+    text = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    once, both, end = text(700), text(300), text(150)
+    # Rows 1 are equal and found nowhere else, rows 2 are equal and found again in 3, rows 4 differ: the second has the common part earlier.
+    data = [(1, once), (2, both), (3, "x" + both), (4, text(200) + end), (None, text(400))]
+    again = [(1, once), (2, both), (4, end + text(200)), (None, data[-1][1])]
+    parts = [spark.createDataFrame(x, "doc_id long, text string").coalesce(1) for x in (data, again)]
+    df = parts[0].unionByName(parts[1])
+    got = substrings.remove_repeats(df if apart else df.coalesce(1), limit=limit).collect()
+    kept = sorted((r.doc_id or 9, r.kept.decode()) for r in got)
+    # A range found in one row 4 applies to both, at the same place.
+    cut = lambda t: t[:200] + t[350:]
+    assert kept == sorted([(1, once), (1, once), (2, both), (2, both), (3, "x"), (4, cut(data[3][1])), (4, cut(again[2][1])), (9, data[-1][1]), (9, data[-1][1])])
+
+
 # 5 preference pairs
 
 
