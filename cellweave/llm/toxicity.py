@@ -48,11 +48,11 @@ def features(saved: np.ndarray) -> list[float]:
 
 
 def _dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """The ordinary dictionary is trained on windows of ordinary texts. The toxic one has the same content after the
+    """The ordinary dictionary is trained on all windows of ordinary texts. The toxic one has the same content after the
     segments (words) whose share of toxic texts exceeds their share of ordinary ones by four standard errors, the
     strongest nearest to it; ordinary text of the same length stands in their place in the ordinary one. What both
     know cancels out, so a window's distance shows toxic segments only."""
-    flat = [w for t in ordinary for w in windows(t)[:20]]
+    flat = [w for t in ordinary for w in windows(t)]
     try:
         base = zstandard.train_dictionary(BASE_BYTES, flat, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on

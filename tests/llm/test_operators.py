@@ -404,6 +404,14 @@ def test_toxicity_on_held_out_rows(spark):
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]).all()
 
 
+def test_ordinary_dictionary_learns_from_whole_texts():
+    rng = np.random.default_rng(6)
+    phrase = "evermore quietly gathering lanterns along wintry harbour walls"
+    texts = [(" ".join(f"w{x}" for x in rng.integers(0, 1_000_000, 160)) + " " + phrase).encode() for _ in range(200)]
+    _, ordinary = toxicity._dictionaries([b"bad words"] * 20, texts)
+    assert phrase.encode() in ordinary
+
+
 def test_toxicity_of_edge_cases(edge, none, labels):
     for known in (labels, labels.limit(0), labels.where("toxic = 0")):
         got = toxicity.report(edge, known).collect()
