@@ -18,7 +18,6 @@ from .words import LOWER
 WINDOW = 8  #: words of a window
 LEVEL = 3
 BASE_BYTES = 32 << 10  #: ordinary text in both dictionaries
-SEGMENTS = 256  #: most segments that are added to the toxic one
 CLEAR = 6  #: bytes saved from which a window counts as clear
 
 
@@ -49,7 +48,7 @@ def features(saved: np.ndarray) -> list[float]:
 
 def _dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     """The ordinary dictionary is trained on all windows of ordinary texts. The toxic one has the same content after the
-    segments (words) whose share of toxic texts exceeds their share of ordinary ones by four standard errors, the
+    segments (all words whose log-odds to be in a toxic text exceed those in an ordinary one by four standard errors), the
     strongest nearest to it; ordinary text of the same length stands in their place in the ordinary one. What both
     know cancels out, so a window's distance shows toxic segments only."""
     flat = [w for t in ordinary for w in windows(t)]
@@ -64,11 +63,12 @@ def _dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, byt
     n0, n1 = len(ordinary), len(toxic)
 
     def strength(w: bytes) -> float:
-        a, b = seen[1][w] + 0.5, seen[0][w] + 0.5 * n0 / n1
-        return (math.log(a / (n1 - a + 1)) - math.log(b / (n0 - b + 1))) / math.sqrt(1 / a + 1 / b)
+        half = 0.5 * n0 / n1
+        a, b = seen[1][w] + 0.5, seen[0][w] + half
+        return (math.log(a / (n1 - a + 1)) - math.log(b / (n0 - seen[0][w] + half))) / math.sqrt(1 / a + 1 / b)
 
-    strong = sorted(((strength(w), w) for w, n in seen[1].items() if n >= max(3, 0.02 * n1)), reverse=True)
-    segments = b" ".join(w for s, w in reversed(strong[:SEGMENTS]) if s > 4)
+    strong = sorted((s, w) for w in seen[1] if (s := strength(w)) > 4)
+    segments = b" ".join(w for _, w in strong)
     filler = b" ".join(flat)[: len(segments)].ljust(len(segments))
     return segments + b" " + base, filler + b" " + base
 

@@ -412,6 +412,14 @@ def test_ordinary_dictionary_learns_from_whole_texts():
     assert phrase.encode() in ordinary
 
 
+def test_toxic_dictionary_takes_all_clear_words():
+    # 300 words in 20 of 600 toxic texts each, one word in 10 of them.
+    toxic = [" ".join(f"clear{(10 * i + j) % 300}" for j in range(10)) + (" seldom" if i < 10 else "") + " some words" for i in range(600)]
+    made, ordinary = toxicity._dictionaries([t.encode() for t in toxic], [b"some words of ordinary text"] * 6000)
+    assert {f"clear{i}".encode() for i in range(300)} | {b"seldom"} <= set(made.split())
+    assert b"some" not in made[: made.index(b"clear")].split() and len(made) == len(ordinary)
+
+
 def test_toxicity_of_edge_cases(edge, none, labels):
     for known in (labels, labels.limit(0), labels.where("toxic = 0")):
         got = toxicity.report(edge, known).collect()
