@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranges import running
+from ..session import stage
 from .common import map_rows, utf8
 
 FOUND = "_words long, _spans array<struct<first:int,end:int>>, _items array<string>"
@@ -160,18 +161,19 @@ def union(a: list, b: list) -> list:
 def locate(docs: DataFrame, tests: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", test_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
     """All rows with ``_words``, ``_spans`` (word ranges inside occurring windows) and ``_items``.
 
-    A shard is one Arrow batch of documents. The test set goes to the executors in blocks of about
-    ``block_bytes`` each, whatever its size: every block makes one more pass over the same rows, which unites its
-    spans with those found before.
+    A shard is one Arrow batch of documents. The test set goes to the executors in blocks, cut by running totals of
+    the bytes of its distinct rows: at most ``block_bytes`` and one row each, whatever its size and however often an item
+    repeats. Every block makes one more pass over the same rows, which unites its spans with those found before.
     """
-    tests = tests.select(F.col(item_col).cast("string").alias("i"), F.coalesce(F.col(test_col), F.lit("")).alias("t"))
-    total = tests.agg(F.sum(F.octet_length("t") + 1)).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
+    tests = tests.select(F.col(item_col).cast("string").alias("i"), F.coalesce(F.col(test_col), F.lit("")).alias("t")).where("i IS NOT NULL").distinct()
+    tests = running(tests.withColumn("n", F.octet_length("t") + 1), [], ["i", "t"], {"total": "n"})
+    tests = stage(tests.select("i", "t", F.floor((F.col("total") - F.col("n")) / block_bytes).alias("block")), "tests")
+    blocks = [r.block for r in tests.select("block").distinct().orderBy("block").collect()] or [0]
     context = docs.sparkSession.sparkContext
-    for b in range(blocks):
-        rows = tests.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).where("i IS NOT NULL").collect()
+    for b in blocks:
+        rows = tests.where(F.col("block") == b).collect()
         block = context.broadcast([(r.i, r.t.encode()) for r in rows])
-        first = b == 0
+        first = b == blocks[0]
 
         def make(block=block, first=first):
             test = TestSet(block.value, window)

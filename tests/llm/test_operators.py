@@ -262,6 +262,19 @@ def test_contamination_by_short_and_odd_items(spark, edge, none):
     assert decontaminate.report(none, items).count() == 0 and not any(r.contaminated for r in decontaminate.report(edge, items.limit(0)).collect())
 
 
+def test_blocks_of_a_benchmark_with_one_frequent_item(spark, edge, monkeypatch):
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: (sent.append(x), send(self, x))[1])
+    often = "one " * 25
+    data = [(1, often)] * 200 + [(i, f"item {i} " * 10) for i in range(2, 12)]
+    got = decontaminate.report(edge, spark.createDataFrame(data, "item_id long, text string"), block_bytes=500).collect()
+    rows_ = [r for x in sent for r in x]
+    assert len(rows_) == 11 and {(int(i), t.decode()) for i, t in rows_} == set(data)
+    assert len(sent) > 1 and all(sum(len(t) + 1 for _, t in x) <= 500 + 101 for x in sent)
+    want = B.leaks([t for _, t in EDGE], data)
+    assert sorted((r.n_words, r.n_hit, r.items_sha256) for r in got) == sorted((n, h, B.sha(",".join(f))) for n, h, f in want)
+
+
 # 7 packing
 
 
