@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranges import running
+
 
 def render(role, text):
     """One turn in the chat template. Null roles and texts are empty."""
@@ -17,7 +19,7 @@ def segments(turns: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> Dat
     ``part`` is prompt for turns before the first difference (role, text, or one side has ended), which appear once, and chosen
     or rejected for the rest. ``start`` is the character at which the turn stands in its part, ``loss`` is true for turns that are
     trained on: those of a trained role outside the prompt. The first difference is one minimum per pair
-    and turns are never gathered into one value, so a conversation of any length is only sorted. Of rows that repeat a
+    and turns are never gathered into one value or task: ``start`` is a running sum over ranges of turns. Of rows that repeat a
     pair, side and turn the least (role, text) counts; rows with a null pair, turn or another side are left out; a
     pair with one side only has no prompt.
     """
@@ -30,9 +32,9 @@ def segments(turns: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> Dat
     apart = F.filter(F.array(*[F.when(F.col(s).isNotNull(), part(s, s)) for s in ("chosen", "rejected")]), lambda x: x.isNotNull())
     rows = marked.select("pair_id", "turn", F.explode(F.when(same, F.array(part("prompt", "chosen"))).otherwise(apart)).alias("x"))
     rows = rows.select("pair_id", "x.part", "turn", "x.role", render(F.col("x.role"), F.col("x.text")).alias("rendered"))
-    before = Window.partitionBy("pair_id", "part").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    rows = running(rows.withColumn("_chars", F.length("rendered").cast("long")), ["pair_id", "part"], ["turn"], {"_end": "_chars"})
     return rows.select(
-        "pair_id", "part", "turn", "role", "rendered", F.coalesce(F.sum(F.length("rendered")).over(before), F.lit(0)).cast("long").alias("start"),
+        "pair_id", "part", "turn", "role", "rendered", (F.col("_end") - F.col("_chars")).alias("start"),
         (F.coalesce(F.col("role").isin(*trained), F.lit(False)) & (F.col("part") != "prompt")).alias("loss"),
     )
 

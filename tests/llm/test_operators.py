@@ -237,6 +237,23 @@ def test_preference(spark):
     assert preference.segments(got.sparkSession.createDataFrame([], "pair_id long, side string, turn long, role string, text string")).count() == 0
 
 
+def test_preference_deals_one_long_pair_to_many_tasks(spark):
+    turns = spark.range(3000).select(F.lit(1).cast("long").alias("pair_id"), F.lit("chosen").alias("side"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
+    adaptive, n = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    try:
+        got = preference.segments(turns).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+    assert len(got) == 3000 and len({r.task for r in got}) > 1
+    at = 0
+    for r in sorted(got, key=lambda r: r.turn):
+        assert r.start == at
+        at += len(r.rendered)
+
+
 # 6 decontamination
 
 
