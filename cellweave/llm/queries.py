@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, near_dups, packing, pii, preference, quality, sharding, substrings, toxicity
+from . import decontaminate, html_text, near_dups, packing, phrases, pii, preference, quality, sharding, substrings, toxicity
 
 QUERIES, ORACLE = {}, {}
 
@@ -83,3 +83,29 @@ def op9_near_duplicates(spark, sf_dir):
 @query
 def op10_compression_toxicity(spark, sf_dir):
     return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op11_toivonen_phrases(spark, sf_dir):
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_toivonen_phrases"] = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, 1 AS size, unnest(w) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
+f AS (SELECT lang, size, phrase, COUNT(*) AS a FROM g GROUP BY ALL HAVING COUNT(*) >= 10),
+n AS (SELECT lang, COUNT(*) AS n FROM g WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+k AS (SELECT c.*, unnest(range(1, size)) AS k FROM c),
+h AS (SELECT k.lang, k.phrase, k.a, k.k, x.a AS l, y.a AS r, CAST(1000000::HUGEINT * k.a * k.a // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.w[1:k.k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.w[k.k + 1:k.size], ' ')),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM h) WHERE o = 1),
+i AS (SELECT lang, phrase, MAX(a) AS most FROM (SELECT lang, a, w[1] || ' ' || w[2] AS phrase FROM c WHERE size = 3 UNION ALL SELECT lang, a, w[2] || ' ' || w[3] FROM c WHERE size = 3) GROUP BY ALL),
+s AS (SELECT b.lang, b.phrase, b.a, b.l, b.r, b.score FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.most IS NULL OR 100 * i.most < 50 * b.a),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM s)
+SELECT t.lang, rank, phrase, a, l, r, n, score FROM t JOIN n ON n.lang = t.lang WHERE rank <= 2000
+"""
