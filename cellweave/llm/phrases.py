@@ -17,7 +17,7 @@ BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 GAP = BREAK.copy()
 GAP[list(b" \t")] = True
 _NEXT = np.uint64(0xA0761D6478BD642F)
-CHUNK = 4 << 20  #: bytes that are hashed at once
+CHUNK = 1 << 20  #: bytes that are hashed at once
 
 
 def cuts(data: np.ndarray, size: int = CHUNK):
@@ -135,7 +135,7 @@ class Tally:
         self.hashes, self.counts, self.held, self.floor = [], [], 0, 0
 
 
-def count(texts: DataFrame, longest: int, now: list[Marks] | None = None, before: list[Marks] | None = None, room: int = 1 << 21) -> DataFrame:
+def count(texts: DataFrame, longest: int, now: list[Marks] | None = None, before: list[Marks] | None = None, room: int = 1 << 20) -> DataFrame:
     """(size, hash, n) of word sequences in texts (lang, text).
 
     A sequence counts if both its parts, without the last and without the first word, are in ``now``; without
