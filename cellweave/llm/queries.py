@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, near_dups, packing, phrases, pii, preference, quality, sharding, substrings, toxicity
+from . import decontaminate, fill_middle, html_text, mixing, near_dups, packing, phrases, pii, preference, quality, sharding, substrings, toxicity
 
 QUERIES, ORACLE = {}, {}
 
@@ -109,3 +109,44 @@ s AS (SELECT b.lang, b.phrase, b.a, b.l, b.r, b.score FROM b LEFT JOIN i ON i.la
 t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM s)
 SELECT t.lang, rank, phrase, a, l, r, n, score FROM t JOIN n ON n.lang = t.lang WHERE rank <= 2000
 """
+
+
+@query
+def op12_secondary_sort(spark, sf_dir):
+    return fill_middle.transform(read(spark, sf_dir, "documents"), with_text=False)
+
+
+ORACLE["op12_secondary_sort"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS x FROM documents),
+h AS (SELECT doc_id, t, u, len(u) AS n, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2, CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS pre, coalesce(array_to_string(u[a + 1:b], ''), '') AS mid, coalesce(array_to_string(u[b + 1:n], ''), '') AS suf FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+ sha256(CASE form WHEN 'plain' THEN t ELSE pre || mid || suf END) AS restored_sha256 FROM p
+"""
+
+
+@query
+def op13_fair_queueing(spark, sf_dir):
+    return mixing.report(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_fair_queueing"] = r"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null'))[1:16] AS h FROM documents),
+s AS (SELECT source, CAST(SUM(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
+w AS (SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 3 * source_size AS cap FROM r),
+o AS (SELECT *, SUM(cap) OVER q - cap AS c0, SUM(w) OVER q - w AS w0, SUM(source_size) OVER () AS t, SUM(w) OVER () AS wt FROM w WINDOW q AS (ORDER BY CAST(cap AS DOUBLE) / w, rank ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT *, CAST(cap AS HUGEINT) * (wt - w0) < CAST(w AS HUGEINT) * (t - c0) AS full_ FROM o),
+l AS (SELECT CAST(MAX(t) - COALESCE(SUM(cap) FILTER (WHERE full_), 0) AS DOUBLE) / CAST(MAX(wt) - COALESCE(SUM(w) FILTER (WHERE full_), 0) AS DOUBLE) AS level, CAST(MAX(t) AS BIGINT) AS budget FROM c),
+x AS (SELECT source, source_size, rank, budget, CASE WHEN full_ THEN CAST(cap AS DOUBLE) ELSE LEAST(CAST(cap AS DOUBLE), w * level) END AS target FROM c, l),
+e AS (SELECT d.*, x.source_size, x.rank, x.target, x.budget, SUM(size) OVER (PARTITION BY x.rank ORDER BY h, doc_id, size, i ROWS UNBOUNDED PRECEDING) - size AS before FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source),
+k AS (SELECT *, unnest(range(0, size, 512)) AS start FROM e WHERE size > 0),
+p AS (SELECT *, LEAST(512, size - start) AS words, unnest(range(0, 3)) AS pass FROM k),
+z AS (SELECT *, pass * source_size + before + start + words AS end_ FROM p),
+v AS (SELECT *, SUM(words) OVER (ORDER BY CAST(end_ AS DOUBLE) / target, rank, end_ ROWS UNBOUNDED PRECEDING) - words AS place FROM z),
+g AS (SELECT i, CAST(SUM(GREATEST(0, LEAST(words, budget - place))) AS BIGINT) AS taken FROM v GROUP BY i)
+SELECT doc_id, size, source_size, target, COALESCE(taken, 0) AS taken FROM e LEFT JOIN g ON e.i = g.i
+"""
