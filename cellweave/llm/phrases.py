@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 GAP = BREAK.copy()
 GAP[list(b" \t")] = True
 _NEXT = np.uint64(0xA0761D6478BD642F)
-CHUNK = 1 << 20  #: bytes that are hashed at once
+CHUNK = 1 << 19  #: bytes that are hashed at once
 
 
 def cuts(data: np.ndarray, size: int = CHUNK):
@@ -66,13 +67,20 @@ class Words:
         return np.searchsorted(shorter, at), np.searchsorted(shorter, at + 1)
 
 
-def buffers(batch: pa.RecordBatch):
-    """(language, lower-cased bytes) per language of a batch: texts are joined by line feeds, which are breaks."""
-    by: dict[str, list[bytes]] = {}
-    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-        by.setdefault(lang, []).append(text)
-    for lang, texts in by.items():
-        yield lang, np.frombuffer(b"\n".join(texts).translate(LOWER), np.uint8)
+def buffers(batch: pa.RecordBatch, size: int = 4 * CHUNK):
+    """(language, lower-cased bytes) per language of each run of rows with about ``size`` bytes of text (or one longer
+    text): texts are joined by line feeds, which are breaks."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < batch.num_rows:
+        end = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + size, "right")))
+        part = batch.slice(first, end - first)
+        by: dict[str, list[bytes]] = {}
+        for lang, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
+            by.setdefault(lang, []).append(text)
+        for lang in list(by):
+            yield lang, np.frombuffer(b"\n".join(by.pop(lang)).translate(LOWER), np.uint8)
+        first = end
 
 
 def _seed(lang: str) -> int:
@@ -135,7 +143,7 @@ class Tally:
         self.hashes, self.counts, self.held, self.floor = [], [], 0, 0
 
 
-def count(texts: DataFrame, longest: int, now: list[Marks] | None = None, before: list[Marks] | None = None, room: int = 1 << 20) -> DataFrame:
+def count(texts: DataFrame, longest: int, now: list[Marks] | None = None, before: list[Marks] | None = None, room: int = 1 << 19) -> DataFrame:
     """(size, hash, n) of word sequences in texts (lang, text).
 
     A sequence counts if both its parts, without the last and without the first word, are in ``now``; without
