@@ -1,4 +1,4 @@
-"""Toxicity by compression distance: windows are compressed with a toxic and with an ordinary zstandard dictionary."""
+"""Toxicity by compression distance: windows are compressed with a zstandard dictionary of toxic and with one of ordinary text."""
 
 from __future__ import annotations
 
@@ -13,64 +13,95 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, utf8
-from .words import LOWER
 
-WINDOW = 8  #: words of a window
-LEVEL = 3
-BASE_BYTES = 32 << 10  #: ordinary text in both dictionaries
-CLEAR = 6  #: bytes saved from which a window counts as clear
+LEVEL = 9
+SIZE = 2048  #: bytes that training may give the toxic dictionary
+BASE = 8192  #: bytes at least that it may give the ordinary one
+CLEAR = 3.5  #: signed root of the likelihood ratio from which a word marks toxic texts
+NEAR = (0.4, 0.5, 0.6, 0.7, 0.8)  #: distances that are counted
+#: Lower-cases A-Z and blanks what is neither a letter, a digit nor beyond ASCII.
+LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+#: Follows every window and ends both dictionaries, since the compressor doesn't search the last bytes of its input. No window holds any of it.
+TAIL = b"<>{}[]()=+*/%$#@!&|~^`:;?.,-_'\""
 
 
 def windows(text: bytes) -> list[bytes]:
-    """Consecutive windows of lower-cased words; a text without words is one empty window."""
-    w = text.translate(LOWER).split()
-    return [b" ".join(w[i : i + WINDOW]) for i in range(0, len(w), WINDOW)] or [b""]
+    """A window for each word of letters and digits, in lower case with a blank on either side; a text without words is one empty window."""
+    return [b" " + w + b" " for w in text.translate(LETTERS).split()] or [b" "]
 
 
 class Distance:
-    """Bytes that the toxic dictionary saves on a window over the ordinary one."""
+    """Compressed lengths of windows with the ordinary and with the toxic dictionary."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes):
+    def __init__(self, toxic: bytes, ordinary: bytes, memo: int = 200_000):
         plain = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-        self.pair = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **plain).compress if len(d) >= 8 else None for d in (ordinary, toxic)]
+        make = lambda d: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d + TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **plain).compress
+        self.pair = [(f, len(f(TAIL))) for f in map(make, (ordinary, toxic))]
+        self.known, self.memo = {}, memo
+
+    def one(self, window: bytes) -> tuple[int, float]:
+        """(bytes that the toxic dictionary saves, toxic length over ordinary length), both without what the tail costs."""
+        got = self.known.get(window)
+        if got is None:
+            a, b = (len(f(window + TAIL)) - n for f, n in self.pair)
+            if len(self.known) >= self.memo:
+                self.known.clear()
+            got = self.known[window] = a - b, b / max(a, 1)
+        return got
 
     def __call__(self, text: bytes) -> np.ndarray:
-        if None in self.pair:
-            return np.zeros(1)
-        a, b = self.pair
-        return np.array([len(a(w)) - len(b(w)) for w in windows(text)], float)
+        return np.array([self.one(w) for w in windows(text)], float)
 
 
-def features(saved: np.ndarray) -> list[float]:
-    top = np.sort(saved)[-3:]
-    return [float(saved.max()), float(saved.mean()), float(top.mean()), math.log1p(float((saved >= CLEAR).sum())), math.log1p(float((saved >= CLEAR + 2).sum())), math.log(len(saved))]
+def features(lengths: np.ndarray) -> list[float]:
+    saved, ratio = lengths.T
+    near = [int((ratio <= t).sum()) for t in NEAR]
+    rest = [float(saved.max()), float(saved.mean()), float(np.sort(ratio)[:3].mean()), float(ratio.min()), math.log(len(ratio))]
+    return rest + [math.log1p(n) for n in near] + [100 * n / len(ratio) for n in near[1:4]]
+
+
+FEATURES = 5 + 2 * len(NEAR) - 2
+
+
+def marking(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> dict[bytes, float]:
+    """Windows that mark toxic texts, with the signed root of their likelihood ratio.
+
+    Given the texts of both kinds that hold a window, their split is binomial if it marks nothing, with the share of toxic
+    texts among all (text, window) pairs, so that longer texts don't count as evidence.
+    """
+    seen = [Counter(w for t in texts for w in set(t)) for texts in (ordinary, toxic)]
+    share = seen[1].total() / max(1, seen[0].total() + seen[1].total())
+    out = {}
+    for w, a in seen[1].items():
+        b = seen[0][w]
+        n = a + b
+        if a >= 3 and a > n * share:
+            z = math.sqrt(2 * (a * math.log(a / (n * share)) + (b * math.log(b / (n * (1 - share))) if b else 0)))
+            if z > CLEAR:
+                out[w] = z
+    return out
 
 
 def _dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """The ordinary dictionary is trained on all windows of ordinary texts. The toxic one has the same content after the
-    segments (all words whose log-odds to be in a toxic text exceed those in an ordinary one by four standard errors), the
-    strongest nearest to it; ordinary text of the same length stands in their place in the ordinary one. What both
-    know cancels out, so a window's distance shows toxic segments only."""
-    flat = [w for t in ordinary for w in windows(t)]
-    try:
-        base = zstandard.train_dictionary(BASE_BYTES, flat, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:  # too few samples to train on
-        base = b" ".join(flat)[:BASE_BYTES]
-    seen = [Counter(), Counter()]
-    for k, texts in enumerate((ordinary, toxic)):
-        for t in texts:
-            seen[k].update(set(t.translate(LOWER).split()))
-    n0, n1 = len(ordinary), len(toxic)
-
-    def strength(w: bytes) -> float:
-        half = 0.5 * n0 / n1
-        a, b = seen[1][w] + 0.5, seen[0][w] + half
-        return (math.log(a / (n1 - a + 1)) - math.log(b / (n0 - seen[0][w] + half))) / math.sqrt(1 / a + 1 / b)
-
-    strong = sorted((s, w) for w in seen[1] if (s := strength(w)) > 4)
-    segments = b" ".join(w for _, w in strong)
-    filler = b" ".join(flat)[: len(segments)].ljust(len(segments))
-    return segments + b" " + base, filler + b" " + base
+    """One dictionary trained on the windows that mark toxic texts, one on all ordinary texts.
+
+    Marking windows that the training left out stand before what it made, the strongest last, so none is lost; with too few samples to
+    train on, they are all. The shorter dictionary is filled up in front, so that places cost the same in both.
+    """
+    split = [[windows(t) for t in texts] for texts in (toxic, ordinary)]
+    strong = marking(*split)
+
+    def trained(size, samples):
+        try:
+            return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
+        except zstandard.ZstdError:
+            return b""
+
+    first = trained(SIZE, [w for t in split[0] for w in t if w in strong])
+    first = b"".join(sorted((w for w in strong if w not in first), key=lambda w: (strong[w], w))) + first
+    second = trained(max(BASE, len(first)), [b" ".join([*(w.strip() for w in t), b""]) for t in split[1]])
+    size = max(len(first), len(second))
+    return first.rjust(size, b"\0"), second.rjust(size, b"\0")
 
 
 def fit(toxic: list[bytes], ordinary: list[bytes], share: float) -> dict:
@@ -81,7 +112,7 @@ def fit(toxic: list[bytes], ordinary: list[bytes], share: float) -> dict:
     """
     cut = [max(1, 3 * len(x) // 5) for x in (toxic, ordinary)]
     if len(toxic) < 2 or len(ordinary) < 2:
-        return {"toxic": b"", "ordinary": b"", "mean": [0.0] * 6, "scale": [1.0] * 6, "weights": [math.log((share + 1e-6) / (1 - share + 1e-6))] + [0.0] * 6}
+        return {"toxic": b"", "ordinary": b"", "mean": [0.0] * FEATURES, "scale": [1.0] * FEATURES, "weights": [math.log((share + 1e-6) / (1 - share + 1e-6))] + [0.0] * FEATURES}
     d1, d0 = _dictionaries(toxic[: cut[0]], ordinary[: cut[1]])
     distance = Distance(d1, d0)
     y = np.array([1] * (len(toxic) - cut[0]) + [0] * (len(ordinary) - cut[1]), float)
@@ -89,7 +120,7 @@ def fit(toxic: list[bytes], ordinary: list[bytes], share: float) -> dict:
     mean, scale = x.mean(0), x.std(0) + 1e-9
     x = np.column_stack([np.ones(len(x)), (x - mean) / scale])
     b = np.zeros(x.shape[1])
-    ridge = np.diag([1e-3] + [1.0] * 6)
+    ridge = np.diag([1e-3] + [1.0] * FEATURES)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         b += np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (y - p) - ridge @ b)
