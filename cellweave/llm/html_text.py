@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 
@@ -16,6 +17,7 @@ HIDDEN = frozenset("head script style template noscript title meta link base dat
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul menu dir".split())
 LISTS = frozenset("ul ol menu dir".split())
+BOXES = frozenset("li dd blockquote td th caption".split())
 # An opening tag ends open ones of these names, up to a tag that bounds the search.
 ENDS = {
     "li": ({"li"}, LISTS), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
@@ -25,7 +27,10 @@ ENDS = {
 CLOSES_P = BLOCK - frozenset("html body tr td th tbody thead tfoot caption option optgroup legend".split())
 HEAD_ONLY = frozenset("head title meta link base script style template noscript html".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile("[>\"']")
+RAW_END = {tag: re.compile(f"</{tag}[\\s/>]", re.I) for tag in RAW}
+DEPTH = 50  #: lists, quotes and cells nested deeper are laid out as plain blocks
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 CONCEALED = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -44,57 +49,128 @@ class Node:
         return None
 
 
+class Scanner:
+    """Texts and tags of a page in order, in one scan; ``at`` is where it goes on."""
+
+    def __init__(self, page: str):
+        self.page, self.at, self.last = page, 0, page.rfind(">")
+        self.quotes = {q: page.rfind(q) for q in "\"'"}
+
+    def __iter__(self):
+        """(text, None, None) or (None, name, attributes); the name of an end tag starts with a slash.
+
+        A ``<`` that starts no tag, or after which no ``>`` comes, is text.
+        """
+        page, n = self.page, len(self.page)
+        while self.at < n:
+            at = self.at
+            mark = page[at + 1 : at + 2]
+            if page[at] != "<":
+                end = page.find("<", at)
+                self.at = n if end < 0 else end
+                yield page[at : self.at], None, None
+            elif page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                self.at = n if end < 0 else end + 3
+            elif mark in ("!", "?") and at < self.last:
+                self.at = page.find(">", at) + 1
+            elif at > self.last or (m := NAME.match(page, at + 1 + (mark == "/"))) is None or m.end() > self.last:
+                self.at = at + 1
+                yield "<", None, None
+            else:
+                end = self._end(m.end())
+                self.at = end + 1
+                yield None, ("/" if mark == "/" else "") + m[0].lower(), page[m.end() : end]
+
+    def _end(self, start: int) -> int:
+        """The ``>`` that ends a tag. A quoted value may hold others; if its quote or then the tag never closes, the tag ends at its first
+        ``>``. A page that ends inside a tag has its quotes ignored from there on, so no part of it is scanned again and again."""
+        page, spot = self.page, start
+        while stop := STOP.search(page, spot):
+            at, q = stop.start(), stop[0]
+            if q == ">":
+                return at
+            before = at - 1
+            while page[before].isspace():
+                before -= 1
+            if page[before] != "=":
+                spot = at + 1
+            elif self.quotes[q] > at:
+                spot = page.find(q, at + 1) + 1
+            else:
+                return page.find(">", start)
+        self.quotes = dict.fromkeys(self.quotes, -1)
+        return page.find(">", start)
+
+
+class Stack:
+    """Open elements, with the places at which each tag is open."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at = [root], {}
+
+    def top(self) -> Node:
+        return self.nodes[-1]
+
+    def push(self, node: Node):
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, k: int):
+        """Close all elements from place ``k`` on."""
+        while len(self.nodes) > k:
+            self.at[self.nodes.pop().tag].pop()
+
+    def place(self, *tags: str) -> int:
+        """The innermost place of any of the tags; 0 if none is open."""
+        return max([places[-1] for t in tags if (places := self.at.get(t))], default=0)
+
+    def first_after(self, k: int, tags) -> int | None:
+        """The outermost place beyond ``k`` of any of the tags."""
+        found = [places[i] for t in tags if (places := self.at.get(t)) and (i := bisect_right(places, k)) < len(places)]
+        return min(found, default=None)
+
+
 def parse(page: str) -> Node:
     """The tree of a page. Missing ends are implied, stray ends ignored, and an end never reaches out of a table cell."""
     root = Node("html")
-    stack = [root]
-    at, n = 0, len(page)
-    while at < n:
-        m = TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2]
+    stack = Stack(root)
+    scan = Scanner(page)
+    for text, tag, attrs in scan:
         if tag is None:
-            s = m[0]
-            if s[0] != "<" or s == "<":
-                if stack[-1].tag == "head" and s.strip():
-                    stack.pop()
-                stack[-1].kids.append(html.unescape(s) if "&" in s else s)
+            if stack.top().tag == "head" and text.strip():
+                stack.cut(len(stack.nodes) - 1)
+            stack.top().kids.append(html.unescape(text) if "&" in text else text)
             continue
-        tag = tag.lower()
-        if m[1]:
-            names = [x.tag for x in stack]
-            if tag in names[1:]:
-                k = len(names) - 1 - names[::-1].index(tag)
-                if tag in ("table", "tr", "td", "th", "tbody", "thead", "tfoot") or not {"td", "th"} & set(names[k + 1 :]):
-                    del stack[k:]
+        if tag[0] == "/":
+            tag = tag[1:]
+            k = stack.place(tag)
+            if k:
+                if tag in ("table", "tr", "td", "th", "tbody", "thead", "tfoot") or stack.place("td", "th") <= k:
+                    stack.cut(k)
             elif tag == "br":
-                stack[-1].kids.append(Node("br"))
+                stack.top().kids.append(Node("br"))
             continue
         if tag == "html":
             continue
-        if stack[-1].tag == "head" and tag not in HEAD_ONLY:
-            stack.pop()
-        names = [x.tag for x in stack]
-        if tag in CLOSES_P and "p" in names:
-            k = len(names) - 1 - names[::-1].index("p")
-            if not {"td", "th", "table", "button"} & set(names[k + 1 :]):
-                del stack[k:]
+        if stack.top().tag == "head" and tag not in HEAD_ONLY:
+            stack.cut(len(stack.nodes) - 1)
+        if tag in CLOSES_P and (k := stack.place("p")) and stack.place("td", "th", "table", "button") <= k:
+            stack.cut(k)
         if tag in ENDS:
             ends, bound = ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in bound:
-                    break
-                if stack[k].tag in ends:
-                    del stack[k:]
-        node = Node(tag, m[3])
-        stack[-1].kids.append(node)
+            k = stack.first_after(stack.place(*bound), ends)
+            if k is not None:
+                stack.cut(k)
+        node = Node(tag, attrs)
+        stack.top().kids.append(node)
         if tag in RAW:
-            e = re.compile(f"</{tag}[\\s/>]", re.I).search(page, at)
-            body = page[at : e.start()] if e else page[at:]
+            e = RAW_END[tag].search(page, scan.at)
+            body = page[scan.at : e.start()] if e else page[scan.at :]
             node.kids.append(html.unescape(body) if tag in ("textarea", "title") else body)
-            at = page.find(">", e.start()) + 1 or n if e else n
-        elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
+            scan.at = page.find(">", e.start()) + 1 or len(page) if e else len(page)
+        elif tag not in VOID and not attrs.endswith("/"):
+            stack.push(node)
     return root
 
 
@@ -165,23 +241,35 @@ class Sheet:
         return self.lines
 
 
-def _table(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Cells as aligned columns, two blanks apart; a cell that spans columns widens none of them."""
-    wide: list[int] = []
+def _table(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Cells as aligned columns, two blanks apart; a cell that spans columns widens none of them, and one that spans rows keeps
+    its columns in them. A cell spans at most as many columns as the longest row has cells."""
+    most = max(map(len, rows), default=1)
+    taken: dict[int, int] = {}  # column -> rows for which a cell above still holds it
+    grid, wide = [], []
     for row in rows:
-        c = 0
-        for lines, span in row:
+        c, placed, held = 0, [], {k: n - 1 for k, n in taken.items() if n > 1}
+        for lines, span, down in row:
+            while c in taken:
+                c += 1
+            span = min(span, most)
+            placed.append((c, lines, span))
+            if down > 1:
+                held |= dict.fromkeys(range(c, c + span), down - 1)
             wide += [0] * (c + span - len(wide))
             if span == 1:
                 wide[c] = max(wide[c], *map(len, lines), 0) if lines else wide[c]
             c += span
+        taken = held
+        grid.append(placed)
     out = []
-    for row in rows:
-        for k in range(max([1, *(len(lines) for lines, _ in row)])):
-            parts, c = [], 0
-            for lines, span in row:
+    for placed in grid:
+        for k in range(max([1, *(len(lines) for _, lines, _ in placed)])):
+            parts, at = [], 0
+            for c, lines, span in placed:
+                parts += ["".ljust(w) for w in wide[at:c]]
                 parts.append((lines[k] if k < len(lines) else "").ljust(sum(wide[c : c + span]) + 2 * (span - 1)))
-                c += span
+                at = c + span
             out.append("  ".join(parts).rstrip())
     return out
 
@@ -201,6 +289,10 @@ def render(root: Node) -> str:
             if not visible(node):
                 continue
             s = sheets[-1]
+            if tag in BOXES and len(sheets) > DEPTH:
+                s.end(1)
+                work += [("end", node)] + [("in", k) for k in reversed(node.kids)]
+                continue
             if tag == "br":
                 s.end(1, force=True)
                 continue
@@ -224,6 +316,9 @@ def render(root: Node) -> str:
             work.append(("out", node))
             work += [("in", k) for k in reversed(node.kids)]
             continue
+        if step == "end":
+            sheets[-1].end(1)
+            continue
         pre -= tag in ("pre", "textarea")
         if tag == "li":
             lines = sheets.pop().done()
@@ -239,7 +334,8 @@ def render(root: Node) -> str:
         elif tag in ("td", "th") and rows:
             if not rows[-1]:
                 rows[-1].append([])
-            rows[-1][-1].append((sheets.pop().done(), max(1, min(_number(node.attr("colspan") if node.attrs else None, 1), 1000))))
+            span, down = (_number(node.attr(x) if node.attrs else None, 1) for x in ("colspan", "rowspan"))
+            rows[-1][-1].append((sheets.pop().done(), max(1, span), down or 1 << 30))
         elif tag == "caption" and rows:
             lines = sheets.pop().done()
             sheets[-1].put(lines, 1)
@@ -260,8 +356,9 @@ def _number(s, default: int) -> int:
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
     """Every row with the visible text of its page in ``out``, which replaces a column of that name.
 
-    Null and empty pages give an empty text; pages of any length are read whole; broken markup is repaired, never
-    refused; repeated rows give repeated texts; all other columns stay.
+    Null and empty pages give an empty text; pages of any length are read whole, in time that grows with their length; broken markup
+    is repaired, never refused; repeated rows give repeated texts; all other columns stay. Boxes nested deeper than
+    ``DEPTH`` keep their text and lose their indentation.
     """
 
     def make():
