@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import array
+import itertools
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -22,27 +26,82 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encoder(path: str, memo: int = 400_000):
-    """bytes -> little-endian 32-bit ids. The vocabulary never joins across ASCII white space, so ids are found by
-    blank-separated chunk and remembered; a full memory is emptied, which changes no result."""
-    import numpy as np
-    from tokenizers import Tokenizer
+#: Chunks whose words can be found without the tokenizer: ASCII and the letters of Latin-1, which normalization leaves alone but for case.
+PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+# Fixed value: the words of the vocabulary's pre-tokenizer, over lower-cased plain chunks.
+WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
+#: The two tokenizers of a vocabulary file, which a worker that runs several tasks keeps; what is remembered is a task's own.
+_LOADED: dict[str, tuple] = {}
 
-    tok = Tokenizer.from_file(path)
-    known: dict[bytes, bytes] = {}
 
-    def encode(text: bytes) -> bytes:
-        chunks = text.split()
-        new = [c for c in set(chunks) if c not in known]
-        if new:
-            if len(known) > memo:
-                known.clear()
-                new = list(set(chunks))
-            for c, e in zip(new, tok.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)):
-                known[c] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join([known[c] for c in chunks])
+class Encoder:
+    """bytes -> little-endian 32-bit ids.
 
-    return encode
+    The vocabulary never joins across ASCII white space, so ids are found by blank-separated chunk and remembered. A new plain chunk is
+    cut into words first, which are remembered too and go through the merges alone; any other chunk, and one that may
+    hold a special token, goes through the whole tokenizer. A full memory loses its older half, which changes no result.
+    """
+
+    def __init__(self, path: str, memo: int = 400_000):
+        if path not in _LOADED:
+            from tokenizers import Tokenizer
+
+            whole = Tokenizer.from_file(path)
+            bare = json.loads(whole.to_str()) | {"normalizer": None, "post_processor": None, "added_tokens": []}
+            bare["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+            _LOADED[path] = whole, Tokenizer.from_str(json.dumps(bare))
+        self.whole, self.bare = _LOADED[path]
+        self.chunks: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.memo = memo
+
+    def _room(self, known: dict, new: int) -> bool:
+        full = len(known) + new > self.memo
+        if full:
+            for k in list(itertools.islice(known, len(known) // 2)):
+                del known[k]
+        return full
+
+    def _learn(self, tokenizer, known: dict, keys: list, texts: list[str]):
+        for k, e in zip(keys, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            known[k] = array.array("I", e.ids).tobytes()
+
+    def _add(self, new: set[bytes]):
+        self._room(self.chunks, len(new))
+        single, cut, rest = [], [], []
+        for c in new:
+            if c.isalpha():  # ASCII letters alone are one word
+                single.append((c, c.lower().decode()))
+                continue
+            t = c.decode()
+            if PLAIN.fullmatch(t) and "<|" not in t:
+                cut.append((c, WORDS.findall(t.lower())))
+            else:
+                rest.append((c, t))
+        self._learn(self.whole, self.chunks, [c for c, _ in rest], [t for _, t in rest])
+        need = {w for _, w in single}.union(*[ws for _, ws in cut])
+        fresh = [w for w in need if w not in self.words]
+        if self._room(self.words, len(fresh)):
+            fresh = [w for w in need if w not in self.words]
+        self._learn(self.bare, self.words, fresh, fresh)
+        words = self.words
+        self.chunks.update([(c, words[w]) for c, w in single])
+        self.chunks.update([(c, b"".join([words[w] for w in ws])) for c, ws in cut])
+
+    def __call__(self, text: bytes, step: int = 1 << 18) -> bytes:
+        parts, out = text.split(), []
+        for at in range(0, len(parts), step):
+            run = parts[at : at + step]
+            got = list(map(self.chunks.get, run))
+            if None in got:
+                self._add({c for c, g in zip(run, got) if g is None})
+                got = [self.chunks[c] if g is None else g for c, g in zip(run, got)]
+            out += got
+        return b"".join(out)
+
+
+def encoder(path: str, memo: int = 400_000) -> Encoder:
+    return Encoder(path, memo)
 
 
 def pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
