@@ -33,7 +33,7 @@ def windows(text: bytes) -> list[bytes]:
 class Distance:
     """Compressed lengths of windows with the ordinary and with the toxic dictionary."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, memo: int = 200_000):
+    def __init__(self, toxic: bytes, ordinary: bytes, memo: int = 100_000):
         plain = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         make = lambda d: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d + TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **plain).compress
         self.pair = [(f, len(f(TAIL))) for f in map(make, (ordinary, toxic))]
@@ -179,7 +179,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str]
         mean, scale, weights = (np.array(m[k]) for k in ("mean", "scale", "weights"))
 
         def work(texts):
-            memo: dict[bytes, float] = {}
+            memo: dict[bytes, float] = {}  # of this batch: equal texts are scored once
             out = []
             for t in utf8(texts):
                 if t not in memo:
