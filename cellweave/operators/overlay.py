@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
-from ..session import each
+from ..session import each, stage
 from .components import connected_components
+from .contract import contract
 
 
 def polyfill_runs(shapes: DataFrame, c: float, keep: list[str] | None = None) -> DataFrame:
@@ -145,32 +146,38 @@ def shared_border(cells: DataFrame, keys: list[str], piece: list[str], c: float)
     return t.groupBy(*keys, F.col("x.a").alias("a"), F.col("x.b").alias("b")).agg((F.count("*") * c).alias("border"))
 
 
-def merge_small(
-    cells: DataFrame, keys: list[str], piece: list[str], c: float, max_cells: int | None = None,
-    within: list[str] | None = None, min_share: float = 0.0,
-) -> DataFrame:
-    """Merge pieces into the neighbour with the longest common border, all in one round.
+def _merge(cells: DataFrame, keys: list[str], piece: list[str], within: list, **rule) -> DataFrame:
+    """Cells with ``merged``, the piece that theirs ends in when pieces of equal keys and ``within`` are contracted."""
+    p = stage(cells.select(*keys, F.struct(*piece).alias("pid"), *[w.alias(f"_w{i}") for i, w in enumerate(within)], "ix", "iy"), "pieces")
+    group = [*keys, *[f"_w{i}" for i in range(len(within))]]
+    size = p.groupBy(*group, "pid").agg(F.count("*").alias("n"), F.min("ix").alias("x0"), F.max("ix").alias("x1"), F.min("iy").alias("y0"), F.max("iy").alias("y1"))
+    t = stage(touching_cells(p, keys, ["pid", *group[len(keys):]]), "touching")
+    inner = t.where("a_pid = b_pid").groupBy(*keys, F.col("a_pid").alias("pid")).agg(F.count("*").alias("inner"))
+    nodes = size.join(inner, [*keys, "pid"], "left").withColumn("sides", 4 * F.col("n") - 2 * F.coalesce("inner", F.lit(0)))
+    for w in group[len(keys):]:
+        t = t.where(F.col(f"a_{w}") == F.col(f"b_{w}")).withColumnRenamed(f"a_{w}", w)
+    both = F.explode(F.array(F.struct(F.col("a_pid").alias("a"), F.col("b_pid").alias("b")), F.struct(F.col("b_pid").alias("a"), F.col("a_pid").alias("b"))))
+    edges = t.where("a_pid <> b_pid").select(*group, both.alias("x")).groupBy(*group, "x.a", "x.b").agg(F.count("*").alias("k"))
+    owner = contract(nodes, edges, group, **rule).select(*keys, "pid", F.col("owner").alias("merged"))
+    return p.join(owner, [*keys, "pid"]).select(*keys, "merged", "ix", "iy")
 
-    A piece of at most ``max_cells`` cells points to that neighbour (ties: smallest id);
-    with ``within`` only neighbours agreeing on those fields count, with ``min_share`` only
-    borders longer than that share of the own outline. Pieces linked by pointers become
-    one: the result is cells with ``piece`` replaced by ``merged`` (the smallest member).
+
+def merge_small(cells: DataFrame, keys: list[str], piece: list[str], max_cells: int) -> DataFrame:
+    """Pieces of at most ``max_cells`` cells merge, in ascending order of (cells, id), into the neighbour with the longest common border.
+
+    A piece that has grown beyond the limit before its turn stays. Neighbours are pieces that haven't merged away and whose
+    first box touches the piece's present box (see ``contract``). Returns cells with ``merged``, the piece they end in.
+    """
+    return _merge(cells, keys, piece, [], max_size=max_cells, boxed=True)
+
+
+def merge_by_parent(cells: DataFrame, keys: list[str], piece: list[str], parent: list, min_share: float = 0.3) -> DataFrame:
+    """Pieces inside one coarse parent merge, in ascending order of (cells, id), into the later one that shares most of their outline.
+
+    A merge needs more than ``min_share`` of the outline that the piece has by then; the outline grows with what has merged into it.
+    ``parent`` are columns over ``piece``. Returns cells with ``merged``, the piece they end in.
     """
-    p = cells.select(*keys, F.struct(*piece).alias("a"), "ix", "iy")
-    size = measure(p, [*keys, "a"], c)
-    b = shared_border(cells, keys, piece, c).join(size, [*keys, "a"])
-    if max_cells is not None:
-        b = b.where(F.col("n") <= max_cells)
-    if within:
-        for f in within:
-            b = b.where(F.col(f"a.{f}") == F.col(f"b.{f}"))
-    if min_share:
-        b = b.where(F.col("border") / F.col("perimeter") > min_share)
-    best = b.groupBy(*keys, "a").agg(F.min_by("b", F.struct((-F.col("border")).alias("o"), F.col("b"))).alias("b"))
-    link = best.select(F.struct(*keys, "a").alias("u"), F.struct(*keys, F.col("b").alias("a")).alias("v"))
-    comp = connected_components(link).select("node.*", F.col("component.a").alias("merged"))
-    r = p.join(comp, [*keys, "a"], "left")
-    return r.select(*keys, F.coalesce("merged", "a").alias("merged"), "ix", "iy")
+    return _merge(cells, keys, piece, parent, min_share=min_share, later_only=True)
 
 
 def piece_ids(pieces: DataFrame, levels: tuple[int, ...] = (17, 18, 19)) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators import outline as L
 from ..operators import overlay as O
 from ..operators import spatial as S
 from ..session import stage
@@ -178,6 +179,42 @@ ORACLE["raw_gap"] = f"""WITH RECURSIVE {RAW}
 SELECT id AS blockid, category AS detailed_category, part, n, {X.r_sql('ar * 1e10', 2)} AS area_e10, {X.r_sql('p', 6)} AS perimeter FROM raw"""
 
 
+def measured(df, keys: list[str]):
+    """Points, area, outline and square metres of polygon text, read back from the text."""
+    edges = G.edges_of(G.parse_polygon(F.col("polygon")))
+    return df.withColumn("_e", edges).select(
+        *keys, "polygon", F.size("_e").cast("long").alias("n_points"), G.rnd(G.area(F.col("_e")) * 1e10, 2).alias("area_e10"),
+        G.rnd(G.perimeter(F.col("_e")), 6).alias("perimeter"), G.rnd(G.geodesic_area(F.col("_e")), 2).alias("area_m2"),
+    )
+
+
+def outline_sql(cells: str, keys: str, name: str) -> str:
+    """CTE ``name`` (keys, n_points, area_e10, perimeter, area_m2) from cells alone: corners by the four cells around a lattice point."""
+    ks = [k.strip() for k in keys.split(",")]
+    eq = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in ks)
+    e2, e1 = f"{G.WGS84_E2!r}e0", f"{G.WGS84_E2 ** 0.5!r}e0"
+    q = lambda y: f"((1 - {e2}) * (sin(radians({y})) / (1 - {e2} * sin(radians({y})) * sin(radians({y}))) + atanh(sin(radians({y})) * {e1}) / {e1}))"
+    band = f"radians({CELL}e0) * ({q(f'(iy + 1) * {CELL}e0')} - {q(f'iy * {CELL}e0')}) * ({G.WGS84_A!r}e0 * {G.WGS84_A!r}e0 / 2)"
+    return f"""{name}_v AS (SELECT {keys}, ix + dx AS x, iy + dy AS y, sum(bit) AS bits FROM {cells}, (VALUES (1, 1, 1), (0, 1, 2), (1, 0, 4), (0, 0, 8)) v(dx, dy, bit) GROUP BY ALL),
+{name}_p AS (SELECT {keys}, sum(CASE WHEN bits IN (6, 9) THEN 2 WHEN bits IN (3, 5, 10, 12, 15) THEN 0 ELSE 1 END) AS n_points FROM {name}_v GROUP BY {keys}),
+{name}_i AS (SELECT {", ".join(f"a.{k}" for k in ks)}, count(*) AS k FROM {cells} a JOIN {cells} b ON {eq('a', 'b')} AND ((b.ix = a.ix + 1 AND b.iy = a.iy) OR (b.iy = a.iy + 1 AND b.ix = a.ix)) GROUP BY ALL),
+{name}_c AS (SELECT {keys}, count(*) AS n, sum({band}) AS m2 FROM {cells} GROUP BY {keys}),
+{name} AS (SELECT {", ".join(f"c.{k}" for k in ks)}, CAST(n_points AS BIGINT) AS n_points, {X.r_sql(f'n * ({CELL}e0 * {CELL}e0) * 1e10', 2)} AS area_e10, {X.r_sql(f'(4 * n - 2 * coalesce(i.k, 0)) * {CELL}e0', 6)} AS perimeter,
+  {X.r_sql('m2', 2)} AS area_m2 FROM {name}_c c JOIN {name}_p p ON {eq('p', 'c')} LEFT JOIN {name}_i i ON {eq('i', 'c')})"""
+
+
+@query
+def part_outlines(spark, sf):
+    """Outlines, with holes, of the parts of blocks that no area covers, read back from their polygon text."""
+    p, m = raw_gap_cells(spark, sf)
+    cells = p.join(m.select("id", "part"), ["id", "part"], "left_semi").withColumn("one", F.lit(1))
+    return measured(L.as_polygons(cells, ["id", "part"], "one", CELL), ["id", "part"]).withColumnRenamed("id", "blockid").drop("polygon")
+
+
+ORACLE["part_outlines"] = f"""WITH RECURSIVE {RAW}, kept AS (SELECT c.* FROM pcell c JOIN raw r ON r.id = c.id AND r.part = c.part), {outline_sql('kept', 'id, part', 'ln')}
+SELECT id AS blockid, part, n_points, area_e10, perimeter, area_m2 FROM ln"""
+
+
 def piece_cells(spark, sf):
     """Gap parts cut along the coarse grid: (id, part, px, py, piece, ix, iy)."""
     p, m = raw_gap_cells(spark, sf)
@@ -227,26 +264,65 @@ SELECT b.id AS blockid, b.part, apx AS a_px, apy AS a_py, ap AS a_piece, bpx AS
 
 def merged_cells(spark, sf):
     c = piece_cells(spark, sf)
-    m = stage(O.merge_small(c, ["id", "part"], PIECE, CELL, max_cells=SMALL), "merged")
+    m = stage(O.merge_small(c, ["id", "part"], PIECE, SMALL), "merged")
     return m.select("id", "part", F.col("merged.px").alias("px"), F.col("merged.py").alias("py"), F.col("merged.piece").alias("piece"), "ix", "iy")
 
 
 @query
 def merge_small(spark, sf):
-    """Small pieces merged into the neighbour with the longest common border."""
+    """Small pieces merged one after the other, smallest first, into the neighbour with the longest common border."""
     return merged_cells(spark, sf).groupBy(F.col("id").alias("blockid"), "part", *PIECE).agg(F.count("*").alias("n"))
 
 
+def _contract_sql(name: str, nodes: str, edges: str, rule: str, order: str) -> str:
+    """CTEs ``name`` (g, pk, owner): the sequential rule, one piece of every group ``g`` a step.
+
+    ``nodes``: g, pk, n, sides, x0, x1, y0, y1; ``edges``: g, a, b, k. ``rule`` sees the piece (c) and its neighbour (q, with k).
+    """
+    return f"""{name}_n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n, pk) AS turn FROM {nodes}),
+{name}_s(step, g, pk, owner) AS (SELECT 0, g, pk, pk FROM {name}_n UNION ALL (
+  WITH w AS (SELECT * FROM {name}_s), o AS (SELECT w.*, n.n, n.sides, n.x0, n.x1, n.y0, n.y1, n.turn FROM w JOIN {name}_n n ON n.g = w.g AND n.pk = w.pk),
+  a AS (SELECT o.g, o.pk FROM o WHERE o.turn = o.step + 1 AND o.pk = o.owner),
+  i AS (SELECT a.g, sum(e.k) AS k FROM a JOIN w x ON x.g = a.g AND x.owner = a.pk JOIN {edges} e ON e.g = x.g AND e.a = x.pk JOIN w y ON y.g = e.g AND y.pk = e.b AND y.owner = a.pk GROUP BY a.g),
+  c AS (SELECT a.g, a.pk, sum(o.n) AS n, sum(o.sides) - coalesce(max(i.k), 0) AS sides, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1
+    FROM a JOIN o ON o.g = a.g AND o.owner = a.pk LEFT JOIN i ON i.g = a.g GROUP BY a.g, a.pk),
+  b AS (SELECT a.g, y.owner, sum(e.k) AS k FROM a JOIN w x ON x.g = a.g AND x.owner = a.pk JOIN {edges} e ON e.g = x.g AND e.a = x.pk JOIN w y ON y.g = e.g AND y.pk = e.b WHERE y.owner <> a.pk GROUP BY 1, 2),
+  p AS (SELECT c.g, c.pk, b.owner, row_number() OVER (PARTITION BY c.g ORDER BY b.k DESC, {order}) AS r FROM c JOIN b ON b.g = c.g JOIN {name}_n q ON q.g = b.g AND q.pk = b.owner WHERE {rule})
+  SELECT w.step + 1, w.g, w.pk, coalesce(p.owner, w.owner) FROM w LEFT JOIN p ON p.g = w.g AND p.pk = w.owner AND p.r = 1
+  WHERE w.step < (SELECT max(turn) FROM {name}_n))),
+{name} AS (SELECT g, pk, owner FROM {name}_s WHERE step = (SELECT max(turn) FROM {name}_n))"""
+
+
 MERGED = f"""{BORDER}, pid AS (SELECT *, row_number() OVER (ORDER BY id, part, px, py, piece) AS pk FROM per),
-pt2 AS (SELECT x.pk AS u, y.pk AS v, b.k FROM bo b JOIN pid x ON x.id = b.id AND x.part = b.part AND x.px = apx AND x.py = apy AND x.piece = ap
-  JOIN pid y ON y.id = b.id AND y.part = b.part AND y.px = bpx AND y.py = bpy AND y.piece = bp WHERE x.n <= {SMALL}),
-ptr AS (SELECT u, v FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY k DESC, v) AS rn FROM pt2) t WHERE rn = 1),
-lk AS (SELECT u, v FROM ptr UNION SELECT v, u FROM ptr),
-mw(s, t) AS (SELECT pk, pk FROM pid UNION SELECT m.s, l.v FROM mw m JOIN lk l ON l.u = m.t),
-mm AS (SELECT s, min(t) AS root FROM mw GROUP BY s),
+pbox AS (SELECT id, part, px, py, piece, min(ix) AS x0, max(ix) AS x1, min(iy) AS y0, max(iy) AS y1 FROM pc GROUP BY 1, 2, 3, 4, 5),
+sgn AS (SELECT concat_ws('/', p.id, p.part) AS g, pk, n, sides, x0, x1, y0, y1 FROM pid p JOIN pbox b ON b.id = p.id AND b.part = p.part AND b.px = p.px AND b.py = p.py AND b.piece = p.piece),
+sge AS (SELECT concat_ws('/', b.id, b.part) AS g, x.pk AS a, y.pk AS b, k FROM bo b JOIN pid x ON x.id = b.id AND x.part = b.part AND x.px = apx AND x.py = apy AND x.piece = ap
+  JOIN pid y ON y.id = b.id AND y.part = b.part AND y.px = bpx AND y.py = bpy AND y.piece = bp),
+{_contract_sql('sq', 'sgn', 'sge', f'c.n <= {SMALL} AND q.x0 <= c.x1 + 1 AND c.x0 <= q.x1 + 1 AND q.y0 <= c.y1 + 1 AND c.y0 <= q.y1 + 1', 'b.owner')},
+mm AS (SELECT pk AS s, owner AS root FROM sq),
 mg AS (SELECT r.id, r.part, r.px, r.py, r.piece, sum(p.n) AS n, mm.root FROM mm JOIN pid p ON p.pk = mm.s JOIN pid r ON r.pk = mm.root GROUP BY ALL)"""
 ORACLE["merge_small"] = f"WITH RECURSIVE {MERGED} SELECT id AS blockid, part, px, py, piece, CAST(n AS BIGINT) AS n FROM mg"
 
+SHARE = 0.3
+
+
+@query
+def merge_by_parent(spark, sf):
+    """Merged pieces that share more than 0.3 of their outline with a larger one of the same coarse parent join it."""
+    c = stage(merged_cells(spark, sf), "merged-cells")
+    m = O.merge_by_parent(c, ["id", "part"], PIECE, [F.shiftright("px", 1), F.shiftright("py", 1)], SHARE)
+    n = m.groupBy(F.col("id").alias("blockid"), "part", "merged").agg(F.count("*").alias("n"))
+    return n.select("blockid", "part", *[F.col(f"merged.{k}").alias(k) for k in PIECE], "n")
+
+
+ORACLE["merge_by_parent"] = f"""WITH RECURSIVE {MERGED},
+hk AS (SELECT pk, root FROM mm JOIN pid ON pk = s), hin AS (SELECT x.root, sum(e.k) AS k FROM sge e JOIN hk x ON x.pk = e.a JOIN hk y ON y.pk = e.b WHERE x.root = y.root GROUP BY 1),
+hn AS (SELECT concat_ws('/', r.id, r.part, r.px >> 1, r.py >> 1) AS g, r.pk, sum(p.n) AS n, sum(p.sides) - coalesce(max(i.k), 0) AS sides, 0 AS x0, 0 AS x1, 0 AS y0, 0 AS y1
+  FROM hk h JOIN pid p ON p.pk = h.pk JOIN pid r ON r.pk = h.root LEFT JOIN hin i ON i.root = h.root GROUP BY 1, 2),
+he AS (SELECT a.g, x.root AS a, y.root AS b, sum(e.k) AS k FROM sge e JOIN hk x ON x.pk = e.a JOIN hk y ON y.pk = e.b JOIN hn a ON a.pk = x.root JOIN hn b ON b.pk = y.root WHERE x.root <> y.root AND a.g = b.g GROUP BY 1, 2, 3),
+{_contract_sql('hq', 'hn', 'he', f"b.k / CAST(c.sides AS DOUBLE) > {SHARE}e0 AND (q.n, q.pk) > (SELECT (z.n, z.pk) FROM hq_n z WHERE z.g = c.g AND z.pk = c.pk)", 'q.n, q.pk')}
+SELECT r.id AS blockid, r.part, r.px, r.py, r.piece, CAST(sum(n.n) AS BIGINT) AS n FROM hq JOIN hn n ON n.pk = hq.pk JOIN pid r ON r.pk = hq.owner GROUP BY 1, 2, 3, 4, 5"""
+
 
 def _centres(cells):
     key = F.struct("id", "part", *PIECE)

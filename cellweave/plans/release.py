@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import groups as R
+from ..operators import outline as L
 from ..operators import overlay as O
 from ..operators import snapshots as N
 from ..operators import spatial as S
 from ..session import stage
+from . import blocks as B
 from . import fixtures as X
 from .blocks import CELL, _cells_sql, _runs_sql
 
@@ -160,6 +162,26 @@ rest AS (SELECT m.* FROM mine m WHERE NOT EXISTS (SELECT 1 FROM tp JOIN cuts c O
 ORACLE["trim_changed"] = f"WITH RECURSIVE {TRIM} SELECT id AS shadow_id, CAST(max(n) AS BIGINT) AS n FROM sz GROUP BY 1"
 
 
+def trimmed_outlines(pieces, changed):
+    """(id, polygon) of the pieces that lost cells to changed areas."""
+    runs = N.trim_changed(pieces, changed, CELL).withColumn("part", F.lit(1))
+    return L.as_polygons(O.run_cells(runs), ["id"], "part", CELL)
+
+
+@query
+def trim_outlines(spark, sf):
+    """Old pieces cut by changed areas, as polygon text and read back from it: points, area, outline, square metres."""
+    old, _ = old_new(spark, sf)
+    t = trimmed_outlines(S.shapes(old, "shadow_id", "polygon", ["code"]), changed_areas(spark, sf))
+    return B.measured(t, ["id"]).withColumnRenamed("id", "shadow_id").drop("polygon")
+
+
+LARGEST = f"""{TRIM}, big AS (SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, label) AS r FROM sz) t WHERE r = 1),
+kept AS (SELECT t.id, iy, unnest(range(x0, x1 + 1)) AS ix FROM tr t JOIN big b ON b.id = t.id AND b.label = t.label)"""
+ORACLE["trim_outlines"] = f"""WITH RECURSIVE {LARGEST}, {B.outline_sql('kept', 'id', 'ln')}
+SELECT id AS shadow_id, n_points, area_e10, perimeter, area_m2 FROM ln"""
+
+
 @query
 def release_next(spark, sf):
     """Today's release: old pieces and accepted new ones, changed areas cut out, area in cells of 0.00041 degrees."""
