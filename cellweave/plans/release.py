@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from ..operators import groups as R
@@ -11,6 +14,7 @@ from ..operators import overlay as O
 from ..operators import snapshots as N
 from ..operators import spatial as S
 from ..session import stage
+from ..sources import catalog as C
 from . import blocks as B
 from . import fixtures as X
 from .blocks import CELL, _cells_sql, _runs_sql
@@ -182,6 +186,27 @@ ORACLE["trim_outlines"] = f"""WITH RECURSIVE {LARGEST}, {B.outline_sql('kept', '
 SELECT id AS shadow_id, n_points, area_e10, perimeter, area_m2 FROM ln"""
 
 
+@query
+def release_days(spark, sf):
+    """Cut outlines released as a table by day: created if absent, one day written twice, read back by name and range of days."""
+    old, _ = old_new(spark, sf)
+    t = trimmed_outlines(S.shapes(old, "shadow_id", "polygon", ["code"]), changed_areas(spark, sf))
+    t = stage(B.measured(t, ["id"]).withColumnRenamed("id", "shadow_id"), "outlines")
+    name = f"release_{uuid.uuid4().hex}"
+    schema = T.StructType([f for f in t.schema.fields if f.name in ("shadow_id", "polygon", "n_points", "area_m2")])
+    for _ in range(2):
+        C.ensure_table(spark, name, schema)
+    for dt, keep in (("20240101", F.lit(True)), ("20240102", F.lit(True)), ("20240101", F.col("shadow_id") % 2 == 0)):
+        C.write_day(t.where(keep), name, dt)
+    d = C.read_days(spark, name, "20240101", "20240102")
+    m2 = G.rnd(G.geodesic_area(G.edges_of(G.parse_polygon(F.col("polygon")))), 2)
+    return d.select("dt", "shadow_id", "n_points", "area_m2", (m2 == F.col("area_m2")).alias("same"))
+
+
+ORACLE["release_days"] = f"""WITH RECURSIVE {LARGEST}, {B.outline_sql('kept', 'id', 'ln')}
+SELECT dt, id AS shadow_id, n_points, area_m2, TRUE AS same FROM ln, (VALUES ('20240101'), ('20240102')) v(dt) WHERE dt = '20240102' OR id % 2 = 0"""
+
+
 @query
 def release_next(spark, sf):
     """Today's release: old pieces and accepted new ones, changed areas cut out, area in cells of 0.00041 degrees."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,6 +12,7 @@ from ..operators import groups as R
 from ..operators import snapshots as N
 from ..operators import spatial as S
 from ..session import fresh_path, stage
+from ..sources import catalog as K
 from ..sources import files as I
 from ..sources import generators as Y
 from ..sources import outlines as L
@@ -50,6 +53,16 @@ def copy_table(spark, sf):
 ORACLE["copy_table"] = f"WITH {AREA_CTES} SELECT id AS aoi_id, {X.r_sql('area * 1e10', 2)} AS area_e10 FROM ab"
 
 
+@query
+def copy_as_table(spark, sf):
+    """Two columns of the areas copied into a named table by a query."""
+    d = K.create_as(X.areas(spark, sf).select("id", "polygon"), f"copy_{uuid.uuid4().hex}")
+    return S.shapes(d, "id", "polygon").select(F.col("id").alias("aoi_id"), G.rnd(F.col("area") * 1e10, 2).alias("area_e10"))
+
+
+ORACLE["copy_as_table"] = ORACLE["copy_table"]
+
+
 @query
 def partition_days(spark, sf):
     """A day-partitioned ORC table: two days written, one replaced, then read by day range."""
