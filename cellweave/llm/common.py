@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -59,3 +61,39 @@ def numbered(rows: DataFrame, group: str, name: str, block: int = 1 << 16) -> Da
     same = [F.col("r." + k).eqNullSafe(F.col("s." + k)) if k == group else F.col("r." + k) == F.col("s." + k) for k in key]
     t = t.withColumn("_place", place).alias("r").join(starts.alias("s"), same)
     return t.select(*[F.col(f"r.`{c}`") for c in rows.columns], (F.col("_start") + F.col("_place") - 1).alias(name))
+
+
+class Marks:
+    """A set of 64-bit hashes as a bitmap of fixed size. It may hold too much, never too little."""
+
+    def __init__(self, bits: int, words: np.ndarray | None = None):
+        self.bits = bits
+        self.words = np.zeros(1 << (bits - 6), np.uint64) if words is None else words
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        spot = h & np.uint64((1 << self.bits) - 1)
+        return (self.words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def marks(hashes: DataFrame, bits: int, old: Marks | None = None) -> Marks:
+    """The values of column ``hash``, together with an older bitmap: at most 2 ** (bits - 6) words reach the driver."""
+    spot = F.col("hash").bitwiseAND((1 << bits) - 1)
+    words = hashes.select(F.shiftright(spot, 6).alias("word"), F.expr("shiftleft(1L, int(hash & 63))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64) if old is None else old.words.copy()
+    out[found["word"].to_numpy()] |= found["bits"].to_numpy().view(np.uint64)
+    return Marks(bits, out)
+
+
+def maybe_among(ids: DataFrame, id_col: str, bits: int = 25) -> Callable[[Column], Column]:
+    """A condition that holds for every id of a table, of any size, and for few others: what it rejects needs no join.
+
+    The ids' hashes are broadcast as a bitmap of 2 ** bits bits; the more ids there are, the more others it lets pass.
+    """
+    shared = ids.sparkSession.sparkContext.broadcast(marks(ids.select(F.xxhash64(id_col).alias("hash")), bits))
+
+    @F.pandas_udf("boolean")
+    def among(h: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.has(h.to_numpy().view(np.uint64)))
+
+    return lambda c: among(F.xxhash64(c))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
+from .common import Marks, marks
 from .words import LOWER, Powers, mix
 
 BREAK = np.zeros(256, bool)
@@ -87,28 +88,6 @@ def _seed(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
 
 
-class Marks:
-    """A set of hashes as a bitmap of fixed size. It may hold too much, never too little."""
-
-    def __init__(self, bits: int, words: np.ndarray | None = None):
-        self.bits = bits
-        self.words = np.zeros(1 << (bits - 6), np.uint64) if words is None else words
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        spot = h & np.uint64((1 << self.bits) - 1)
-        return (self.words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
-
-
-def marks(counts: DataFrame, size: int, bits: int, old: Marks | None = None) -> Marks:
-    """The hashes of one size as a bitmap, together with an older one: at most 2 ** (bits - 6) words reach the driver."""
-    spot = F.col("hash").bitwiseAND((1 << bits) - 1)
-    words = counts.where(F.col("size") == size).select(F.shiftright(spot, 6).alias("word"), F.expr(f"shiftleft(1L, int(hash & {63}))").alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.uint64) if old is None else old.words.copy()
-    out[found["word"].to_numpy()] |= found["bits"].to_numpy().view(np.uint64)
-    return Marks(bits, out)
-
-
 def _fold(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     h, n = np.concatenate(hashes), np.concatenate(counts)
     order = np.argsort(h, kind="stable")
@@ -242,17 +221,18 @@ def frequent(docs: DataFrame, longest: int = 3, min_count: int = 10, share: floa
     sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
     low = max(2, int(share * min_count * 0.75))
     proposed = stage(count(sample, longest - 1).where(F.col("n") >= low), "proposed") if longest > 1 else None
-    now, before, found = [marks(proposed, k, bits) for k in range(1, longest)], None, []
+    of = lambda t, k: t.where(F.col("size") == k)
+    now, before, found = [marks(of(proposed, k), bits) for k in range(1, longest)], None, []
     while True:
         found.append(stage(count(texts, longest, now, before).where(F.col("n") >= min_count), "counted"))
-        more = [marks(found[-1], k, bits, old) for k, old in enumerate(now, 1)]
+        more = [marks(of(found[-1], k), bits, old) for k, old in enumerate(now, 1)]
         if all(np.array_equal(a.words, b.words) for a, b in zip(now, more)):
             break
         now, before = more, now
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
-    spelled = spell(texts, [marks(every, k, bits) for k in range(1, longest + 1)])
+    spelled = spell(texts, [marks(of(every, k), bits) for k in range(1, longest + 1)])
     return stage(spelled.where(F.col("phrase").isNull() | (F.col("n") >= min_count)), "spelled")
 
 
