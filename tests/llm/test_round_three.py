@@ -4,12 +4,14 @@ import collections
 import hashlib
 import os
 import re
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from cellweave.llm import fill_middle, mixing, phrases
+from cellweave.llm import fill_middle, html_text, mixing, near_dups, packing, phrases
 from tests.llm import brute as B
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -243,3 +245,108 @@ def test_mix_of_edge_cases(spark, edge, none):
     # All but one source stop at their limit.
     tight = [(i, "w " * 3, "abcdefgh"[i % 8]) for i in range(8)] + [(100 + i, "w " * 500, "i") for i in range(40)]
     check_mix(spark.createDataFrame(tight, "doc_id long, text string, source string"), tight, 50)
+
+
+# 2 pages
+
+
+@pytest.mark.parametrize("page", [
+    "<a" * 100_000, "<" + "a" * 1_000_000, "<div>" * 100_000 + "x", "<a x=\">y\" " * 50_000, "<a x=\"" * 100_000 + ">", "<blockquote>" * 50_000 + "x", "<ul><li>" * 50_000 + "x",
+    "<table><tr><td>" * 20_000 + "x", "<p>" * 100_000, "<b>" * 50_000 + "</i>" * 50_000, "<" * 300_000, "<script>" * 50_000, "<table>" + "<tr><td>x" * 30_000, "<a '\"=>" * 50_000,
+], ids=range(14))
+def test_odd_pages_take_linear_time(page):
+    start = time.process_time()
+    html_text.render(html_text.parse(page))
+    assert time.process_time() - start < 8
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("x <a href=\"u>link y", "x link y"), ("a <b x='1>2'>c</b> <i y=\">z\">d", "a c d"), ("<p class=a'b>t<p>u", "t\n\nu"), ("a <b", "a <b"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e</table>", "a  b  c\nd     e"),
+    ("<table><tr><td rowspan=2 colspan=2>a<td>b<tr><td>c<tr><td>d<td>e<td>f</table>", "a     b\n      c\nd  e  f"),
+    ("<div>" * 60 + "<ul><li>" * 60 + "x" + "</ul>" * 60 + "<p>y", "- " * 50 + "x\n\ny"),
+])
+def test_markup(page, text):
+    got = html_text.render(html_text.parse(page))
+    assert got.replace(" ", "") == text.replace(" ", "") if page.startswith("<div>") else got == text
+
+
+class Plain(HTMLParser):
+    """Visible words by the standard library's parser: a second, plainer reader."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.off, self.words = [], []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        hide = tag in html_text.HIDDEN or "hidden" in a or html_text.CONCEALED.search(a.get("style") or "")
+        if tag not in html_text.VOID and (hide or self.off):
+            self.off.append(tag)
+        if tag in html_text.BLOCK or tag == "br":
+            self.words.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in self.off:
+            while self.off.pop() != tag:
+                pass
+        if tag in html_text.BLOCK:
+            self.words.append(" ")
+
+    def handle_data(self, data):
+        if not self.off:
+            self.words.append(data)
+
+
+def test_pages_hold_all_visible_words(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    mark = re.compile(r"^(\s*(-|\d+\.) )+", re.M)
+    for r in html_text.extract(pages).collect():
+        p = Plain()
+        p.feed(r.html)
+        assert sorted(mark.sub("", r.text).split()) == sorted(x for x in "".join(p.words).split() if not re.fullmatch(r"-|\d+\.", x)), r.page_id
+
+
+# 7 tokens of packed pieces
+
+
+def test_words_are_tokenized_as_by_the_whole_tokenizer():
+    enc, small = packing.Encoder(packing.tokenizer_path()), packing.Encoder(packing.tokenizer_path(), memo=40)
+    rng = np.random.default_rng(3)
+    letters = list("aAbZ019'\u2019s t.<|>éÉßẞİıœŒÿŸ×÷²ªµ漢Σς\n\x1c\x85\U0001f600ñÑ") + ["'S", "'RE", "'ll", "<|endoftext|>", "don't", "e\u0301"]
+    for _ in range(3000):
+        t = "".join(rng.choice(letters, rng.integers(0, 25)))
+        want = np.asarray(enc.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        assert enc(t.encode()) == small(t.encode()) == want, t
+
+
+# 9 near duplicates
+
+
+def test_keep_one_of_repeated_ids(spark):
+    rng = np.random.default_rng(5)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    a, b, c = text(60), text(60), text(60)
+    data = [(1, a, "x"), (2, a, "y"), (3, b, "x"), (3, b, "z"), (4, c, "q"), (4, text(50), "q"), (None, a, "n"), (5, "", "e"), (6, None, "e"), (None, text(40), "n")]
+    df = spark.createDataFrame(data, "doc_id long, text string, _id string")
+    got = near_dups.keep_one(df)
+    assert got.columns == df.columns and sorted(str(r.doc_id) for r in got.collect()) == ["1", "3", "4", "5", "6", "None"]
+
+
+@pytest.mark.parametrize("small", [1, 2])
+def test_pivot_rounds_find_every_link(spark, small):
+    """Groups of 20 to 59 edited copies: with small buckets all links beyond the direct pairs come from pivot rounds."""
+    rng = np.random.default_rng(12)
+    data, i = [], 0
+    for size in (20, 35, 59):
+        base = [f"w{x}" for x in rng.integers(0, 100_000, 120)]
+        for _ in range(size):
+            t = list(base)
+            for at in rng.integers(0, len(t), int(rng.integers(0, 4))):
+                t[at] = f"e{rng.integers(0, 50)}"
+            data.append((i, " ".join(t)))
+            i += 1
+    want = B.components(data)
+    got = near_dups.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(4), small=small, bands=60).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
