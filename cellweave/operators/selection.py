@@ -2,7 +2,8 @@
 
 A row has a cost and a gain if chosen, and may have others if not. A group must reach a gain, within a band of
 counts, at least cost. For a number of trade-offs between cost and gain the free rows of a group are ranked, and
-the cheapest prefix that meets all limits is found; later rounds look closer around the best trade-off. Running sums
+the cheapest prefix that meets all limits is found; later rounds look closer around the best trade-off. A histogram of
+scores tells which few bins can hold that prefix; only their rows are ranked. Running sums
 are two-phase over range partitions, so no group has to fit one task.
 """
 
@@ -10,13 +11,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, stage
 from .ranges import running
 
 # Lowest gain over base gain, and the count band, per variant.
+BINS = 1 << 12
 LIMITS = {"circle": (1.005, 0.95, 1.10), "distance": (1.003, 0.90, 1.10)}
 
 
@@ -53,14 +55,50 @@ def _arms(df: DataFrame, arm0: tuple[str, str] | None) -> DataFrame:
     return df.withColumn("_c0", c.cast("double")).withColumn("_g0", g.cast("double"))
 
 
+def _score() -> Column:
+    return F.cos("turn") * F.col("c") / F.col("cs") - F.sin("turn") * F.col("g") / F.col("gs")
+
+
 def _prefixes(free: DataFrame, group: str, turns: DataFrame) -> DataFrame:
     """Free rows with their place, cost and gain up to them, for each trade-off (group, turn)."""
     d = free.join(turns, group)
-    score = F.cos("turn") * F.col("c") / F.col("cs") - F.sin("turn") * F.col("g") / F.col("gs")
-    d = d.select(group, "turn", "_row", "c", "g", score.alias("score"), F.lit(1).cast("long").alias("one"))
+    d = d.select(group, "turn", "_row", "c", "g", _score().alias("score"), F.lit(1).cast("long").alias("one"))
     return running(d, [group, "turn"], ["score", "_row"], {"pos": "one", "cc": "c", "cg": "g"})
 
 
+def _leading(free: DataFrame, group: str, turns: DataFrame, need: DataFrame) -> DataFrame:
+    """Prefixes ``(group, turn, pos, cc, cg)`` for each trade-off, among them the cheapest that fits and the one of the least bound.
+
+    Scores lie between -1.5 and 1.5 and fall into equal bins. The ends of bins are prefixes; a bin whose least cost (its start
+    plus all that is saved in it) is above that of a fitting end, or whose greatest gain is too little, holds no better one.
+    """
+    d = free.join(turns.withColumn("tan", F.tan("turn")), group)
+    worth = F.col("c") - F.col("tan") * F.col("cs") / F.col("gs") * F.col("g")
+    d = d.select(group, "turn", "_row", "c", "g", "bins", _score().alias("score"), worth.alias("v"))
+    place = F.floor((F.col("score") + 1.5) / 3.0 * F.col("bins"))
+    d = d.withColumn("bin", F.when(F.col("score").isNull(), -1).when(F.isnan("score"), F.col("bins")).otherwise(place))
+    h = d.groupBy(group, "turn", "bin").agg(
+        F.count("*").alias("n"), F.coalesce(F.sum("c"), F.lit(0.0)).alias("c"), F.coalesce(F.sum("g"), F.lit(0.0)).alias("g"),
+        F.sum(F.least("c", F.lit(0.0))).alias("saved"), F.sum(F.greatest("g", F.lit(0.0))).alias("gained"), F.sum(F.least("v", F.lit(0.0))).alias("fall"))
+    # A trade-off has at most BINS + 2 bins.
+    before = Window.partitionBy(group, "turn").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    start = {f"{x}0": F.coalesce(F.sum(x).over(before), F.lit(0)) for x in ("n", "c", "g")}
+    h = h.withColumns(start).join(need.select(group, "need", "lo", "hi", "cs", "gs"), group)
+    h = stage(h.withColumn("pos", F.col("n0") + F.col("n")).withColumn("cc", F.col("c0") + F.col("c")).withColumn("cg", F.col("g0") + F.col("g")), "bins")
+    price = F.tan("turn") * F.col("cs") / F.col("gs")
+    known = h.where("pos BETWEEN lo AND hi").groupBy(group, "turn").agg(
+        F.min(F.when(F.col("cg") >= F.col("need"), F.col("cc"))).alias("top"), F.min(F.col("cc") - price * F.col("cg")).alias("low"))
+    slack = (F.abs("c0") + F.abs("saved") + price * (F.abs("g0") + F.abs("gained"))) * 1e-9
+    cheap = (F.col("g0") + F.col("gained") + F.abs("need") * 1e-9 >= F.col("need")) & (F.col("top").isNull() | (F.col("c0") + F.col("saved") <= F.col("top") + (F.abs("c0") + F.abs("saved")) * 1e-9))
+    bound = F.col("low").isNull() | (F.col("c0") - price * F.col("g0") + F.col("fall") <= F.col("low") + slack)
+    open_bins = h.join(known, [group, "turn"], "left").where("n > 1 AND n0 < hi AND pos >= lo").where(cheap | ((F.col("turn") < math.pi / 2) & bound))
+    open_bins = stage(open_bins.select(group, "turn", "bin", "n0", "c0", "g0"), "open-bins")
+    rows = d.join(open_bins, [group, "turn", "bin"]).select(group, "turn", "bin", "_row", "c", "g", "score", "n0", "c0", "g0", F.lit(1).cast("long").alias("one"))
+    inside = running(rows, [group, "turn", "bin"], ["score", "_row"], {"pos": "one", "cc": "c", "cg": "g"})
+    inside = inside.select(group, "turn", (F.col("n0") + F.col("pos")).alias("pos"), (F.col("c0") + F.col("cc")).alias("cc"), (F.col("g0") + F.col("cg")).alias("cg"))
+    return h.select(group, "turn", "pos", "cc", "cg").unionByName(inside)
+
+
 def select_flows(df: DataFrame, group: str, variant: str = "circle", arm0: tuple[str, str] | None = None, turns: int = 17, rounds: int = 3) -> DataFrame:
     """Add ``flow_class``, ``is_selected``, ``bound`` and ``gap``.
 
@@ -76,6 +114,7 @@ def select_flows(df: DataFrame, group: str, variant: str = "circle", arm0: tuple
         F.sum(F.when(F.col("flow_class") == 1, 1).otherwise(0)).alias("fn"),
         F.sum(F.when(F.col("flow_class") == 1, F.col("gain")).otherwise(F.col("_g0"))).cast("double").alias("fg"),
         F.sum(F.when(F.col("flow_class") == 1, F.col("cost")).otherwise(F.col("_c0"))).cast("double").alias("fc"),
+        F.greatest(F.lit(1), F.least(F.lit(BINS), F.floor(F.count(F.when(F.col("flow_class") == 0, 1)) / 16))).alias("bins"),
         F.max(F.when(F.col("flow_class") == 0, F.abs(F.col("cost") - F.col("_c0")))).alias("cs"),
         F.max(F.when(F.col("flow_class") == 0, F.abs(F.col("gain") - F.col("_g0")))).alias("gs"),
     )
@@ -83,10 +122,10 @@ def select_flows(df: DataFrame, group: str, variant: str = "circle", arm0: tuple
     # The sums of the audit run in another order; the margin keeps a rounding error from breaking a limit.
     need = cut_lineage(lim.where("base_gain > 0").join(fixed, group).select(
         group, (F.col("min_gain") + F.abs("min_gain") * 1e-12 - F.col("fg")).alias("need"), (F.col("min_n") - F.col("fn")).alias("lo"),
-        (F.col("max_n") - F.col("fn")).alias("hi"), "fc", *positive.values(),
+        (F.col("max_n") - F.col("fn")).alias("hi"), "fc", "bins", *positive.values(),
     ))
-    free = d.where("flow_class = 0").join(need.select(group, "cs", "gs"), group).select(
-        group, "_row", (F.col("cost") - F.col("_c0")).cast("double").alias("c"), (F.col("gain") - F.col("_g0")).cast("double").alias("g"), "cs", "gs")
+    free = d.where("flow_class = 0").join(need.select(group, "cs", "gs", "bins"), group).select(
+        group, "_row", (F.col("cost") - F.col("_c0")).cast("double").alias("c"), (F.col("gain") - F.col("_g0")).cast("double").alias("g"), "cs", "gs", "bins")
     free = stage(free, "free")
     # Choosing no free row may do already; it is also a choice that bounds may not overlook.
     none = (F.col("lo") <= 0) & (F.col("hi") >= 0)
@@ -96,7 +135,7 @@ def select_flows(df: DataFrame, group: str, variant: str = "circle", arm0: tuple
         step = (F.col("last") - F.col("first")) / (turns - 1)
         at = span.select(group, step.alias("step"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(turns - 1)), lambda k: F.when(k == turns - 1, F.col("last")).otherwise(F.col("first") + k * step))).alias("turn"))
         at = cut_lineage(at)
-        fits = _prefixes(free, group, at.select(group, "turn")).join(need, group).where("pos BETWEEN lo AND hi")
+        fits = _leading(free, group, at.select(group, "turn"), need).join(need, group).where("pos BETWEEN lo AND hi")
         price = F.tan("turn") * F.col("cs") / F.col("gs")
         seen = fits.groupBy(group, "turn").agg(
             F.min_by(F.struct("pos", "cc"), F.when(F.col("cg") >= F.col("need"), F.struct("cc", "pos"))).alias("b"),
