@@ -55,9 +55,9 @@ def cells_as_shapes(cells: DataFrame, col: str) -> DataFrame:
     return S.with_edges(d.select((F.col("d.lat") * F.pow(F.lit(2.0), F.col("d.lon_bits") + 1).cast("long") + F.col("d.lon")).alias("id"), G.single_ring(ring).alias("rings")))
 
 
-def pixel_heat(points: DataFrame, boxes: DataFrame, rows: int, cols: int) -> DataFrame:
-    """Points (id, x, y) per pixel of the grid around the box of the same id."""
-    p = points.join(boxes, "id")
+def pixel_heat(points: DataFrame, rows: int, cols: int) -> DataFrame:
+    """Points (id, x, y and the box of the id) per pixel of the grid around the box."""
+    p = points
     box = tuple(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))
     p = p.select("id", C.pixel_index(F.col("x"), F.col("y"), box, rows, cols).alias("p")).where("p IS NOT NULL")
     return p.groupBy("id", F.col("p.row").alias("row"), F.col("p.col").alias("col")).agg(F.count("*").alias("heat"))

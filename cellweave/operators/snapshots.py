@@ -84,9 +84,8 @@ def drop_covered(pieces: DataFrame, ratio: float = 0.95) -> DataFrame:
 
 def changed_overlaps(pieces: DataFrame, changed: DataFrame, ratio: float = 0.1) -> DataFrame:
     """Pairs of a piece and a changed area of the same ``code`` covering more than ``ratio`` of it."""
-    p = S.candidates(pieces, changed, extra=("area", "code")).where("l_code = r_code")
-    o = S.overlap(p, pieces, changed)
-    return p.join(o, ["l_id", "r_id"]).where(F.col("inter") / F.col("l_area") > ratio).select("l_id", "r_id")
+    hit = S.intersecting(pieces, changed, extra=("code",), where=F.col("l_code") == F.col("r_code"))
+    return hit.where(F.col("inter") / F.col("l_area") > ratio).select("l_id", "r_id")
 
 
 def trim_changed(pieces: DataFrame, changed: DataFrame, c: float, ratio: float = 0.1) -> DataFrame:

@@ -52,6 +52,21 @@ def test_hole_with_itself_and_touching(spark):
     assert d[(1, 4)].dist_degree == pytest.approx(0.5)
 
 
+def test_pairs_are_never_shuffled(spark, capsys):
+    a = shapes(spark, [(i, square(i, 0, 1.5)) for i in range(5)])
+    S.intersecting(a, a, "lt").explain()
+    S.pair_distance(S.candidates(a, a, pad_m=1e5, extra=("area", "edges"), self_join="lt"), a, a).explain()
+    plan = capsys.readouterr().out
+    assert "hashpartitioning(role" in plan and "hashpartitioning(l_id" not in plan and "hashpartitioning(r_id" not in plan
+
+
+def test_semi_and_anti_join_settle_dense_places_first(spark):
+    left = shapes(spark, [(1, square(0, 0, 1)), (2, square(0.2, 0.2, 1, (0.3, 0.3, 0.6))), (3, square(0.55, 0.55, 0.1)), (4, square(9, 9, 1))])
+    right = shapes(spark, [(i, square(0.6 + i / 1000, 0.6, 0.01)) for i in range(20)] + [(50, square(0.2, 0.2, 0.01)), (51, square(30, 30, 1))])
+    assert sorted(r.id for r in S.spatial_semi(left, right).collect()) == [1, 2, 3]
+    assert [r.id for r in S.spatial_anti(left, right).collect()] == [4]
+
+
 def test_touching_region_wins_over_none(spark):
     a = shapes(spark, [(1, square(0, 0, 1)), (2, square(50, 50, 1))])
     g = shapes(spark, [(7, square(1, 0, 1))])
