@@ -9,7 +9,7 @@ from ..functions import geometry as G
 from ..functions import rings as P
 from ..operators import hulls
 from ..operators import spatial as S
-from ..session import each
+from ..session import each, spread
 from ..sources import outlines as I
 from . import fixtures as X
 from .areas import AREA_CTES, area_shapes
@@ -37,7 +37,7 @@ PATH_SQL = "SELECT id, cx, cy, r, CASE id % 6 " + " ".join(f"WHEN {i} THEN '{n}'
 
 def paths(spark, sf):
     """id, path name and points."""
-    d = X.run(spark, sf, PATH_SQL)
+    d = spread(X.run(spark, sf, PATH_SQL))
     cases = None
     for n, pts in PATHS.items():
         arr = F.array(*[G.xy(F.col("cx") + F.col("r") * float(x) + float(o), F.col("cy") + F.col("r") * float(y)) for x, y, o, _, _ in pts])
