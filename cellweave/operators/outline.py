@@ -1,4 +1,4 @@
-"""Outlines of cell coverages: boundary edges stitched into rings by pointer doubling."""
+"""Outlines of cell coverages: boundary edges stitched into rings by pointer doubling, many small keys at a time or in rounds over all tasks."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..session import cut_lineage
+from ..session import cut_lineage, stage
+from . import runs as R
 
 
 def boundary(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,14 +59,26 @@ def ordered_rings(stretches: DataFrame, keys: list[str]) -> DataFrame:
     return s.join(at, [*keys, "node"]).select(*keys, "ring", "step", "sx", "sy", "ex", "ey")
 
 
-def outlines(cells: DataFrame, keys: list[str], part: str, c: float) -> DataFrame:
+def rings_of_runs(runs: DataFrame, keys: list[str], room: int = R.ROOM) -> DataFrame:
+    """``ordered_rings`` of coverages given as stored runs: keys of at most ``room`` runs are traced many at a time in one task, larger ones by rounds."""
+    large = stage(R.large_keys(runs, keys, room), "large")
+    small = R.traced(runs.join(F.broadcast(large), keys, "left_anti"), keys)
+    if large.isEmpty():
+        return small
+    cells = runs.join(F.broadcast(large), keys, "left_semi").select(*keys, "iy", F.explode(F.sequence("x0", "x1")).alias("ix"))
+    return small.unionByName(ordered_rings(boundary(cells, keys), keys))
+
+
+def outlines(cells: DataFrame, keys: list[str], part: str, c: float, room: int = R.ROOM) -> DataFrame:
     """``(keys, rings)``: the outline of each coverage in degrees, in the form that ``geometry`` parses polygons to.
 
-    ``part`` numbers the connected parts of a key from 1; each has one outer ring, first, and its holes after it. Only the points of
-    a finished outline are gathered, since they are one value of the result.
+    ``cells`` are cells or runs. ``part`` numbers the connected parts of a key from 1; each has one outer ring, first, and its holes
+    after it. Only the points of a finished outline are gathered, since they are one value of the result.
     """
     of = [*keys, part]
-    r = ordered_rings(boundary(cells.select(*of, "ix", "iy"), of), of)
+    if "ix" in cells.columns:
+        cells = cells.withColumn("x0", F.col("ix")).withColumn("x1", F.col("ix"))
+    r = rings_of_runs(stage(cells.select(*of, *[F.col(k).cast("long").alias(k) for k in ("iy", "x0", "x1")]), "outline-runs"), of, room)
     point = F.struct("step", F.struct((F.col("sx") * F.lit(c)).alias("x"), (F.col("sy") * F.lit(c)).alias("y")).alias("p"))
     twice = F.sum(F.col("sx") * F.col("ey") - F.col("ex") * F.col("sy"))
     r = r.groupBy(*of, "ring").agg(F.sort_array(F.collect_list(point)).alias("pts"), twice.alias("twice"))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..session import stage
 from . import overlay as O
+from . import runs as W
 from . import spatial as S
 from .groups import argmax
 
@@ -93,12 +95,12 @@ def trim_changed(pieces: DataFrame, changed: DataFrame, c: float, ratio: float =
 
     Only touched pieces are returned; the others stay as they are.
     """
-    pairs = changed_overlaps(pieces, changed, ratio)
+    pairs = stage(changed_overlaps(pieces, changed, ratio), "changed-pairs")
     touched = pieces.join(pairs.select(F.col("l_id").alias("id")), "id", "left_semi")
-    mine = O.polyfill(touched, c).select("id", "ix", "iy")
-    cuts = O.polyfill(changed, c).select(F.col("id").alias("r_id"), "ix", "iy").join(pairs, "r_id").select(F.col("l_id").alias("id"), "ix", "iy")
-    rest = O.subtract_cells(mine, cuts, ["id"])
-    parts = O.parts(rest, ["id"])
+    cuts = O.polyfill_words(changed, c).select(F.col("id").alias("r_id"), "iy", "wx", "m").join(pairs, "r_id")
+    cuts = O.union_words(cuts.select(F.col("l_id").alias("id"), "iy", "wx", "m"), "id")
+    rest = O.with_other(O.polyfill_words(touched, c), cuts, ["id"]).select("id", "iy", "wx", F.expr("m & ~o").alias("m")).where("m <> 0")
+    parts = stage(O.parts_of_runs(stage(W.word_runs(rest), "rest"), ["id"]), "rest-parts")
     size = parts.groupBy("id", "part").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n"))
     top = size.groupBy("id").agg(F.max_by("part", F.struct(F.col("n"), (-F.col("part")).alias("p"))).alias("part"))
     return parts.join(top, ["id", "part"], "left_semi").select("id", "iy", "x0", "x1")

@@ -169,7 +169,7 @@ ORACLE["trim_changed"] = f"WITH RECURSIVE {TRIM} SELECT id AS shadow_id, CAST(ma
 def trimmed_outlines(pieces, changed):
     """(id, polygon) of the pieces that lost cells to changed areas."""
     runs = N.trim_changed(pieces, changed, CELL).withColumn("part", F.lit(1))
-    return L.as_polygons(O.run_cells(runs), ["id"], "part", CELL)
+    return L.as_polygons(runs, ["id"], "part", CELL)
 
 
 @query

@@ -5,7 +5,11 @@ import random
 from pyspark.sql import functions as F
 
 from cellweave.functions import rings as P
-from cellweave.session import spread
+from cellweave.operators import outline as L
+from cellweave.operators import overlay as O
+from cellweave.operators import runs as W
+from cellweave.operators import spatial as S
+from cellweave.session import spread, stage
 
 
 def plain_thin(pts, most, passes):
@@ -36,3 +40,62 @@ def test_rows_of_one_split_are_dealt_to_all_cores(spark):
         assert d.select(F.spark_partition_id().alias("p")).distinct().count() >= spark.sparkContext.defaultParallelism
     finally:
         spark.conf.set("spark.cellweave.partitions", n)
+
+
+def cells_of(rng, width, height, share, x=0, y=0):
+    return {(x + i, y + j) for i in range(width) for j in range(height) if rng.random() < share}
+
+
+def as_runs(cells):
+    """Runs of single rows, cut where a word of 64 cells ends."""
+    out = []
+    for x, y in sorted(cells, key=lambda c: (c[1], c[0])):
+        if out and out[-1][0] == y and out[-1][2] == x - 1 and x % 64:
+            out[-1][2] = x
+        else:
+            out.append([y, x, x])
+    return out
+
+
+def shapes_of_cells():
+    rng = random.Random(8)
+    got = {k: cells_of(rng, rng.randrange(1, 90), rng.randrange(1, 12), rng.choice([0.5, 0.7, 0.95]), rng.randrange(-70, 70), rng.randrange(-5, 5)) for k in range(40)}
+    got[40] = {(x, y) for x in range(60, 70) for y in range(4)} - {(63, 1), (64, 2)}
+    return {k: c for k, c in got.items() if c}
+
+
+def test_parts_and_rings_are_the_same_in_batches_and_in_rounds(spark):
+    shapes = shapes_of_cells()
+    rows = [(k, *r) for k, c in shapes.items() for r in as_runs(c)]
+    d = stage(spark.createDataFrame(rows, "id long, iy long, x0 long, x1 long"), "test-runs")
+    own = lambda p: {(r.id, r.part, r.iy, x) for r in p.collect() for x in range(r.x0, r.x1 + 1)}
+    batches, rounds = O.parts_of_runs(d, ["id"]), O.parts_of_runs(d, ["id"], room=3)
+    assert "MapInArrow" in batches._jdf.queryExecution().executedPlan().toString()
+    assert own(batches) == own(rounds)
+    assert {(k, x, y) for k, c in shapes.items() for x, y in c} == {(k, x, y) for k, _, y, x in own(batches)}
+    runs = stage(batches, "test-parts")
+    keys = ["id", "part"]
+    ring = lambda room: {(r.id, r.part, r.ring.y, r.ring.x, r.ring.d, r.step, r.sx, r.sy, r.ex, r.ey) for r in L.rings_of_runs(runs, keys, room).collect()}
+    assert ring(1 << 14) == ring(2)
+
+
+def test_opening_of_words(spark):
+    shapes = shapes_of_cells()
+    rows = [(k, *r) for k, c in shapes.items() for r in as_runs(c)]
+    runs = spark.createDataFrame(rows, "id long, iy long, x0 long, x1 long")
+    words = O.union_words(W.run_words(runs), "id")
+    back = {(r.id, x, r.iy) for r in W.word_runs(words).collect() for x in range(r.x0, r.x1 + 1)}
+    assert back == {(k, x, y) for k, c in shapes.items() for x, y in c}
+    got = {(r.id, x, r.iy) for r in W.word_runs(O.open_words(words, ["id"])).collect() for x in range(r.x0, r.x1 + 1)}
+    near = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    core = {k: {(x, y) for x, y in c if all((x + i, y + j) in c for i, j in near)} for k, c in shapes.items()}
+    assert got == {(k, x + i, y + j) for k, c in core.items() for x, y in c for i, j in near}
+    # Cells met twice are opened away, as they are cell by cell.
+    assert O.open_words(words.unionByName(words), ["id"]).isEmpty()
+
+
+def test_coverage_of_a_shape_as_words(spark):
+    text = ["POLYGON ((0 0, 130 0, 130 9, 0 9), (3 2, 3 5, 90 5, 90 2))", "POLYGON ((-70 -3, -1 -3, -60 8))"]
+    s = S.shapes(spark.createDataFrame(list(enumerate(text)), "id long, polygon string"), "id", "polygon")
+    flat = lambda d: sorted((r.id, x, r.iy) for r in d.collect() for x in range(r.x0, r.x1 + 1))
+    assert flat(W.word_runs(O.polyfill_words(s, 1.0))) == flat(O.polyfill_runs(s, 1.0)) != []
