@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from cellweave.llm import fill_middle, html_text, mixing, near_dups, packing, phrases
+from cellweave.llm import common, fill_middle, html_text, mixing, near_dups, packing, phrases
 from tests.llm import brute as B
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -106,6 +106,12 @@ def test_phrases_of_edge_cases(edge, none):
     assert phrases.collocations(none).count() == 0
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    df = spark.range(300).selectExpr("id", "repeat('abcdefgh', 5000) AS text").coalesce(1)
+    got = common.map_rows(df, ["text"], "held long", lambda: lambda texts: [[texts.nbytes] * len(texts)])
+    assert 0 < got.agg({"held": "max"}).first()[0] <= common.BATCH + 100_000
+
+
 # 12 fill in the middle
 
 
