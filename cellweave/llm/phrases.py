@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import Marks, marks
+from .common import Marks, marks, small_batches
 from .words import LOWER, Powers, mix
 
 BREAK = np.zeros(256, bool)
@@ -19,6 +19,9 @@ BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 GAP = BREAK.copy()
 GAP[list(b" \t")] = True
 _NEXT = np.uint64(0xA0761D6478BD642F)
+_AFTER = np.uint64(0xE7037ED1A0B428DB)
+_BY = np.uint64(0x94D049BB133111EB)
+KEY = ["size", "hash", "second"]  #: a sequence is known by two hashes that have nothing in common, 128 bits together
 CHUNK = 1 << 19  #: bytes that are hashed at once
 
 
@@ -39,28 +42,32 @@ def cuts(data: np.ndarray, size: int = CHUNK):
 
 
 class Words:
-    """Hashed words of one buffer of one language: ``sizes[k - 1]`` holds (start words, hashes) of its contiguous k words within pieces."""
+    """Hashed words of one buffer of one language: ``sizes[k - 1]`` holds (start words, hashes, second hashes) of its contiguous k words within pieces."""
 
-    def __init__(self, data: np.ndarray, seed: int, longest: int, powers: Powers):
+    def __init__(self, data: np.ndarray, seed: int, longest: int, powers: tuple[Powers, Powers]):
         solid = np.concatenate([[False], ~GAP[data], [False]])
         edge = np.flatnonzero(solid[1:] != solid[:-1])
         self.first, self.end = edge[::2], edge[1::2]
         n = len(self.first)
-        up, down = powers.get(len(data) + 1)
+        one, two = (self.hashes(data, s, p) for s, p in zip((seed, seed ^ int(_AFTER)), powers))
         with np.errstate(over="ignore"):
-            total = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-            one = mix((total[self.end] - total[self.first]) * down[self.first] + np.uint64(seed))
             breaks = np.flatnonzero(BREAK[data])
             joined = np.searchsorted(breaks, self.end[:-1]) == np.searchsorted(breaks, self.first[1:])
-            at, h = np.arange(n), one
-            self.sizes = [(at, h)]
+            at, h, g = np.arange(n), one, two
+            self.sizes = [(at, h, g)]
             for k in range(2, longest + 1):
                 go = at + k - 2 < n - 1
                 go[go] = joined[at[go] + k - 2]
-                at, h = at[go], h[go]
-                h = mix(h * _NEXT + one[at + k - 1])
-                self.sizes.append((at, h))
+                at, h, g = at[go], h[go], g[go]
+                h, g = mix(h * _NEXT + one[at + k - 1]), mix(g * _AFTER + two[at + k - 1])
+                self.sizes.append((at, h, g))
+
+    def hashes(self, data: np.ndarray, seed: int, powers: Powers) -> np.ndarray:
+        up, down = powers.get(len(data) + 1)
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+            return mix((total[self.end] - total[self.first]) * down[self.first] + np.uint64(seed))
 
     def parts(self, k: int):
         """Indexes, among the sequences of k - 1 words, of the first and the last k - 1 words of each sequence of k."""
@@ -88,42 +95,51 @@ def _seed(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
 
 
-def _fold(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    h, n = np.concatenate(hashes), np.concatenate(counts)
-    order = np.argsort(h, kind="stable")
-    h, n = h[order], n[order]
-    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    return h[new], np.add.reduceat(n, new) if len(h) else n
+def _powers() -> tuple[Powers, Powers]:
+    return Powers(), Powers(_BY)
+
+
+def _fold(h: np.ndarray, g: np.ndarray, n: np.ndarray | None = None, kind: str | None = None):
+    """Hashes, second hashes and counts with equal neighbours, in order of the hash, added up. Whoever adds up the rest does it by both."""
+    order = np.argsort(h, kind=kind)
+    h, g = h[order], g[order]
+    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])) if len(h) else np.zeros(0, np.int64)
+    if n is None:
+        return h[new], g[new], np.diff(np.append(new, len(h)))
+    return h[new], g[new], np.add.reduceat(n[order], new) if len(h) else n
 
 
 class Tally:
     """Counts of hashes that leave when more than ``room`` have gathered."""
 
     def __init__(self, size: int, room: int):
-        self.size, self.room, self.hashes, self.counts, self.held, self.floor = size, room, [], [], 0, 0
+        self.size, self.room, self.lots, self.held, self.floor = size, room, [], 0, 0
 
-    def add(self, h: np.ndarray):
-        u, n = np.unique(h, return_counts=True)
-        self.hashes.append(u)
-        self.counts.append(n.astype(np.int64))
-        self.held += len(u)
+    def fold(self):
+        self.lots = [_fold(*map(np.concatenate, zip(*self.lots)), kind="stable")]
+        self.held = len(self.lots[0][0])
+
+    def add(self, h: np.ndarray, g: np.ndarray):
+        self.lots.append(_fold(h, g))
+        self.held += len(self.lots[-1][0])
         if self.held > self.room + self.floor:
-            self.hashes, self.counts = map(lambda x: [x], _fold(self.hashes, self.counts))
-            self.held = self.floor = len(self.hashes[0])
+            self.fold()
+            self.floor = self.held
             if self.held > self.room:
                 yield from self.rows()
 
     def rows(self, step: int = 1 << 16):
         if self.held:
-            h, n = _fold(self.hashes, self.counts)
+            self.fold()
+            h, g, n = self.lots[0]
             for a in range(0, len(h), step):
                 b = min(len(h), a + step)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, self.size, np.int32)), pa.array(h[a:b].view(np.int64)), pa.array(n[a:b])], names=["size", "hash", "n"])
-        self.hashes, self.counts, self.held, self.floor = [], [], 0, 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, self.size, np.int32)), pa.array(h[a:b].view(np.int64)), pa.array(g[a:b].view(np.int64)), pa.array(n[a:b])], names=[*KEY, "n"])
+        self.lots, self.held, self.floor = [], 0, 0
 
 
 def count(texts: DataFrame, longest: int, now: list[Marks] | None = None, before: list[Marks] | None = None, room: int = 1 << 19) -> DataFrame:
-    """(size, hash, n) of word sequences in texts (lang, text).
+    """(size, hash, second, n) of word sequences in texts (lang, text).
 
     A sequence counts if both its parts, without the last and without the first word, are in ``now``; without
     ``now`` all count. Those whose parts were in ``before`` already, and single words then, have been counted and are left out.
@@ -132,17 +148,17 @@ def count(texts: DataFrame, longest: int, now: list[Marks] | None = None, before
 
     def run(batches):
         now, before = shared.value
-        powers = Powers()
+        powers = _powers()
         tallies = [Tally(k, room) for k in range(1, longest + 1)]
         for batch in batches:
             for lang, data in buffers(batch):
                 for a, b in cuts(data):
                     w = Words(data[a:b], _seed(lang), longest, powers)
-                    for k, (_, h) in enumerate(w.sizes, 1):
+                    for k, (_, h, g) in enumerate(w.sizes, 1):
                         if k == 1:
-                            take = h if before is None else h[:0]
+                            go = slice(None) if before is None else slice(0)
                         elif now is None:
-                            take = h
+                            go = slice(None)
                         else:
                             x, y = w.parts(k)
                             prior = w.sizes[k - 2][1]
@@ -151,57 +167,66 @@ def count(texts: DataFrame, longest: int, now: list[Marks] | None = None, before
                             if before is not None:
                                 known = before[k - 2].has(prior)
                                 go &= ~(known[x] & known[y])
-                            take = h[go]
-                        if len(take):
-                            yield from tallies[k - 1].add(take)
+                        if len(take := h[go]):
+                            yield from tallies[k - 1].add(take, g[go])
         for t in tallies:
             yield from t.rows()
 
-    return texts.mapInArrow(run, "size int, hash long, n long").groupBy("size", "hash").agg(F.sum("n").alias("n"))
+    return small_batches(texts).mapInArrow(run, "size int, hash long, second long, n long").groupBy(*KEY).agg(F.sum("n").alias("n"))
 
 
-def spell(texts: DataFrame, frequent: list[Marks], room: int = 1 << 18) -> DataFrame:
-    """(lang, size, phrase, n): every sequence whose hash is marked, counted by its words; a null phrase counts a language's words.
+def spell(texts: DataFrame, wanted: list[Marks], totals: bool = True, room: int = 1 << 20) -> DataFrame:
+    """(lang, size, hash, second, phrase, n): the words of every sequence whose hash is marked, once for each lot of a task.
 
-    Counts are added by the words themselves; only inside one chunk of a text are sequences told apart by their 64-bit hash.
+    n is 0 but for rows of size 0, which count the words of a language (with ``totals``). A task remembers up to ``room`` sequences of a size
+    that it has spelled, by both hashes, and starts afresh when there are more.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
 
-    def rows(seen):
-        items = [(lang, p, n) for lang, counted in seen.items() for p, n in counted.items()]
-        for a in range(0, len(items), 1 << 14):
-            lang, phrase, n = zip(*items[a : a + (1 << 14)])
-            size = [0 if p is None else p.count(b" ") + 1 for p in phrase]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array([p and p.decode() for p in phrase], pa.string()), pa.array(n, pa.int64()),
-            ], names=["lang", "size", "phrase", "n"])
+    def rows(lang, size, h, g, phrases, n):
+        return pa.RecordBatch.from_arrays([
+            pa.array([lang] * len(phrases), pa.string()), pa.array(np.full(len(phrases), size, np.int32)), h, g, pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(len(phrases), n, np.int64)),
+        ], names=["lang", *KEY, "phrase", "n"])
 
     def run(batches):
-        powers, seen = Powers(), {}
+        powers, words = _powers(), {}
+        seen = [(np.zeros(0, np.uint64),) * 2 for _ in shared.value]
         for batch in batches:
             for lang, data in buffers(batch):
-                mine = seen.setdefault(lang, {})
                 for a, b in cuts(data):
                     part = data[a:b]
                     w = Words(part, _seed(lang), len(shared.value), powers)
                     raw = part.tobytes()
-                    mine[None] = mine.get(None, 0) + len(w.first)
-                    for k, (at, h) in enumerate(w.sizes, 1):
-                        go = shared.value[k - 1].has(h)
-                        _, where, n = np.unique(h[go], return_index=True, return_counts=True)
-                        at = at[go][where]
-                        for i, j, c in zip(w.first[at].tolist(), w.end[at + k - 1].tolist(), n.tolist()):
-                            s = raw[i:j]
-                            if k > 1 and (b"  " in s or b"\t" in s):
-                                s = b" ".join(s.split())
-                            mine[s] = mine.get(s, 0) + c
-                    if sum(map(len, seen.values())) > room:
-                        yield from rows(seen)
-                        seen = {}
-                        mine = seen.setdefault(lang, {})
-        yield from rows(seen)
-
-    return texts.mapInArrow(run, "lang string, size int, phrase string, n long").groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+                    words[lang] = words.get(lang, 0) + len(w.first)
+                    for k, (at, h, g) in enumerate(w.sizes, 1):
+                        go = np.flatnonzero(shared.value[k - 1].has(h))
+                        go = go[np.lexsort((g[go], h[go]))]
+                        at, h, g = at[go], h[go], g[go]
+                        new = np.ones(len(h), bool)
+                        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+                        old = seen[k - 1]
+                        if len(old[0]):
+                            spot = np.minimum(np.searchsorted(old[0], h), len(old[0]) - 1)
+                            new &= (old[0][spot] != h) | (old[1][spot] != g)
+                        if not new.any():
+                            continue
+                        at, h, g = at[new], h[new], g[new]
+                        phrases = [raw[i:j] for i, j in zip(w.first[at].tolist(), w.end[at + k - 1].tolist())]
+                        if k > 1:
+                            phrases = [b" ".join(s.split()) if b"  " in s or b"\t" in s else s for s in phrases]
+                        yield rows(lang, k, pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), phrases, 0)
+                        if len(old[0]) + len(h) > room:
+                            seen[k - 1] = h, g
+                        else:
+                            spot = np.searchsorted(old[0], h)
+                            seen[k - 1] = np.insert(old[0], spot, h), np.insert(old[1], spot, g)
+        if totals:
+            none = pa.array([None], pa.int64())
+            for lang, n in words.items():
+                yield rows(lang, 0, none, none, [None], n)
+
+    made = small_batches(texts).mapInArrow(run, "lang string, size int, hash long, second long, phrase string, n long")
+    return made.groupBy("lang", *KEY, "phrase").agg(F.sum("n").alias("n"))
 
 
 def frequent(docs: DataFrame, longest: int = 3, min_count: int = 10, share: float = 0.125, bits: int = 25, lang_col: str = "lang", text_col: str = "text", other: str = "und") -> DataFrame:
@@ -212,7 +237,8 @@ def frequent(docs: DataFrame, longest: int = 3, min_count: int = 10, share: floa
     2. A full pass counts these and their negative border: all single words, and each sequence whose two parts were proposed.
     3. Frequent members of the border are failures. While there are any, they join the proposed ones, and a further pass counts
        the sequences that this adds to the border. The last pass without a failure closes the border, so nothing frequent is missed.
-    4. One pass spells the frequent ones and counts them by their words, so a shared hash changes no count.
+    4. The sample's texts spell what they hold of the frequent ones, a last pass spells the others. So a sequence is spelled in few
+       tasks, however many hold it; what it counts is known from the passes before, by 128 bits.
 
     Proposed sequences are known in tasks by bitmaps of 2 ** bits bits, whatever the size of the corpus: a full bitmap only makes
     passes count more. The share changes the number of passes, never the result.
@@ -232,8 +258,12 @@ def frequent(docs: DataFrame, longest: int = 3, min_count: int = 10, share: floa
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
-    spelled = spell(texts, [marks(of(every, k), bits) for k in range(1, longest + 1)])
-    return stage(spelled.where(F.col("phrase").isNull() | (F.col("n") >= min_count)), "spelled")
+    marked = lambda rows: [marks(of(rows, k), bits) for k in range(1, longest + 1)]
+    named = stage(spell(sample, marked(every), totals=False).drop("n").join(every, KEY).select("lang", "phrase", *KEY, "n"), "named")
+    rest = stage(every.join(named, KEY, "left_anti"), "unnamed")
+    late = spell(texts, marked(rest)).join(rest.withColumnRenamed("n", "_n"), KEY, "left").where("size = 0 OR _n IS NOT NULL")
+    late = stage(late.select("lang", "size", "phrase", F.coalesce("_n", "n").alias("n")), "spelled")
+    return named.select(*late.columns).unionByName(late)
 
 
 def collocations(docs: DataFrame, top: int = 2000, shortest: int = 2, longest: int = 3, min_count: int = 10, covered: int = 50, lang_col: str = "lang", **how) -> DataFrame:

@@ -20,18 +20,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of the multiplier and of its inverse modulo 2**64, kept as long as the longest text seen."""
+    """Powers of a multiplier and of its inverse modulo 2**64, kept as long as the longest text seen."""
 
-    def __init__(self):
+    def __init__(self, by: np.uint64 = _P):
+        self.by = by
         self.up = self.down = np.ones(1, np.uint64)
 
     def get(self, n: int):
         if len(self.up) < n:
             with np.errstate(over="ignore"):
-                step = np.full(n, _P)
+                step = np.full(n, self.by)
                 step[0] = 1
                 self.up = np.multiply.accumulate(step)
-                step = np.full(n, np.uint64(pow(int(_P), -1, 1 << 64)))
+                step = np.full(n, np.uint64(pow(int(self.by), -1, 1 << 64)))
                 step[0] = 1
                 self.down = np.multiply.accumulate(step)
         return self.up[:n], self.down[:n]

@@ -106,6 +106,33 @@ def test_phrases_of_edge_cases(edge, none):
     assert phrases.collocations(none).count() == 0
 
 
+def test_what_the_sample_spells_is_not_spelled_by_every_task(spark, monkeypatch):
+    rows = [(f"one two three four five u{i}", "en") for i in range(400)] + [("only here", "fr")] * 12
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(40)
+    marked, spell = [], phrases.spell
+
+    def watched(texts, wanted, **how):
+        marked.append(sum(int(np.bitwise_count(m.words).sum()) for m in wanted))
+        return spell(texts, wanted, **how)
+
+    monkeypatch.setattr(phrases, "spell", watched)
+    got = {(r.lang, r.phrase): r.n for r in phrases.frequent(df).collect()}
+    assert got["en", "one two three"] == 400 and got["fr", "only here"] == 12 and got["en", None] == 2400
+    # 12 phrases of the language that the sample holds; those of a text that it may lack are at most 3.
+    assert len(marked) == 2 and 12 <= marked[0] <= 15 and marked[1] <= 3
+
+
+def test_one_hash_of_two_sequences_adds_nothing_up():
+    t = phrases.Tally(1, 100)
+    h, g = np.array([5, 5, 7, 5], np.uint64), np.array([1, 2, 1, 1], np.uint64)
+    assert not [*t.add(h, g), *t.add(h, g)]
+    got = {}
+    for b in t.rows():
+        for r in b.to_pylist():
+            got[r["hash"], r["second"]] = got.get((r["hash"], r["second"]), 0) + r["n"]
+    assert got == {(5, 1): 4, (5, 2): 2, (7, 1): 2}
+
+
 def test_batches_are_bounded_by_bytes(spark):
     df = spark.range(300).selectExpr("id", "repeat('abcdefgh', 5000) AS text").coalesce(1)
     got = common.map_rows(df, ["text"], "held long", lambda: lambda texts: [[texts.nbytes] * len(texts)])
