@@ -9,6 +9,7 @@ from cellweave.operators import outline as L
 from cellweave.operators import overlay as O
 from cellweave.operators import runs as W
 from cellweave.operators import spatial as S
+from cellweave.operators.contract import contract
 from cellweave.session import spread, stage
 
 
@@ -99,3 +100,43 @@ def test_coverage_of_a_shape_as_words(spark):
     s = S.shapes(spark.createDataFrame(list(enumerate(text)), "id long, polygon string"), "id", "polygon")
     flat = lambda d: sorted((r.id, x, r.iy) for r in d.collect() for x in range(r.x0, r.x1 + 1))
     assert flat(W.word_runs(O.polyfill_words(s, 1.0))) == flat(O.polyfill_runs(s, 1.0)) != []
+
+
+def test_runs_that_touch_are_counted_as_their_cells_are(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.randrange(3), y, x, x + rng.randrange(9)) for k in (1, 2) for y in range(60, 70) for x in (rng.randrange(-20, 20) for _ in range(4))]  # some overlap
+    d = spark.createDataFrame(rows, "id long, piece long, iy long, x0 long, x1 long")
+    cells = [(k, p, x, y) for k, p, y, a, b in rows for x in range(a, b + 1)]
+    want = {}
+    for k, p, x, y in cells:
+        for k2, q, x2, y2 in cells:
+            if k == k2 and (x2, y2) in ((x + 1, y), (x, y + 1)):
+                want[k, p, q] = want.get((k, p, q), 0) + 1
+    assert {(r.id, r.a_piece, r.b_piece): r.k for r in O.touching(d, ["id"], ["piece"]).collect()} == want
+    assert {(r.id, r.a_piece, r.b_piece): r.k for r in O.touching(O.run_cells(d), ["id"], ["piece"]).collect()} == want
+    n = {k: sum(c[0] == k for c in cells) for k in (1, 2)}
+    sides = {k: 4 * n[k] - 2 * sum(v for p, v in want.items() if p[0] == k) for k in n}
+    assert {r.id: (r.n, round(r.perimeter)) for r in O.measure(d, ["id"], 1.0).collect()} == {k: (n[k], sides[k]) for k in n}
+
+
+def test_runs_are_cut_and_merged_as_their_cells_are(spark):
+    shapes = shapes_of_cells()
+    d = spark.createDataFrame([(k, x, y) for k, c in shapes.items() for x, y in c], "id long, ix long, iy long")
+    runs = stage(O.parts(d, ["id"]), "test-parts")
+    pieces = stage(O.cut_by_parent(runs, ["id", "part"], 3, 30), "test-pieces")
+    cells = stage(O.cut_by_parent(O.run_cells(runs), ["id", "part"], 3, 30), "test-cells")
+    flat = lambda t: sorted(tuple(str(r[c]) for c in sorted(t.columns) if c not in ("x0", "x1", "ix")) + (x,) for r in t.collect() for x in ([r.ix] if "ix" in t.columns else range(r.x0, r.x1 + 1)))
+    assert "x0" in pieces.columns and flat(pieces) == flat(cells)
+    of = (["id", "part"], ["px", "py", "piece"], 35)
+    assert flat(O.merge_small(pieces, *of)) == flat(O.merge_small(cells, *of))
+
+
+def test_pieces_of_small_keys_are_merged_without_rounds(spark):
+    nodes = [(g, (p,), 3 + (p * 5 + g) % 4, 12, 3 * p, 3 * p + 2, 0, 1) for g in (1, 2) for p in range(5)]
+    edges = [(g, (p + i,), (p + 1 - i,), 1 + (p + g) % 3) for g in (1, 2) for p in range(4) for i in (0, 1)]
+    nodes = spark.createDataFrame(nodes, "id long, pid struct<piece: long>, n long, sides long, x0 long, x1 long, y0 long, y1 long")
+    edges = spark.createDataFrame(edges, "id long, a struct<piece: long>, b struct<piece: long>, k long")
+    small, rounds = (contract(nodes, edges, ["id"], max_size=6, boxed=True, room=room) for room in (1 << 14, 0))
+    assert "MapInArrow" in small._jdf.queryExecution().executedPlan().toString()
+    got, want = ({(r.id, r.pid.piece): r.owner.piece for r in t.collect()} for t in (small, rounds))
+    assert got == want and any(p != o for (_, p), o in got.items())
