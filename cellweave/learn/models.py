@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import FMClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import HashingTF, IDF, NGram, OneHotEncoder, PolynomialExpansion, RegexTokenizer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, OneHotEncoder, PolynomialExpansion, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,12 +69,71 @@ def compare(kinds: list[str], train: DataFrame, test: DataFrame, features: list[
     return leaderboard(out)
 
 
+_LOW = (1 << 32) - 1
+
+
+def _murmur(data: bytes, seed: int = 42) -> int:
+    """The hash by which ``HashingTF`` finds a term's place."""
+    h, full = seed, len(data) // 4 * 4
+    for i in range(0, len(data), 4):
+        k = int.from_bytes(data[i : i + 4], "little") * 0xCC9E2D51 & _LOW
+        h ^= ((k << 15 | k >> 17) & _LOW) * 0x1B873593 & _LOW
+        if i < full:
+            h = ((h << 13 | h >> 19) & _LOW) * 5 + 0xE6546B64 & _LOW
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & _LOW
+    h = (h ^ h >> 13) * 0xC2B2AE35 & _LOW
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def char_counts(n: int, dims: int, room: int = 1 << 18) -> Callable[[str], SparseVector]:
+    """Counts of a text's character n-grams (up to 4 UTF-16 units, lower case) at the places of ``RegexTokenizer``, ``NGram`` and ``HashingTF``.
+
+    A text's units are counted at once and each n-gram is hashed once a task, so no character becomes a string.
+    """
+    memo: dict[int, int] = {}
+
+    def place(code: int) -> int:
+        units = [chr(code >> 16 * i & 0xFFFF) for i in reversed(range(n))]
+        return _murmur(" ".join(units).encode()) % dims
+
+    def count(text):
+        u = np.frombuffer(text.lower().encode("utf-16-le"), "<u2").astype(np.uint64)
+        u[(u >= 0xD800) & (u < 0xE000)] = ord("?")  # half a character is none
+        m = max(0, len(u) - n + 1)
+        code = np.zeros(m, np.uint64)
+        for i in range(n):
+            code = code << np.uint64(16) | u[i : m + i]
+        grams, times = np.unique(code, return_counts=True)
+        if len(memo) > room:
+            memo.clear()
+        spots = []
+        for g in grams.tolist():
+            s = memo.get(g)
+            if s is None:
+                s = memo[g] = place(g)
+            spots.append(s)
+        at, of = np.unique(np.array(spots, np.int64), return_inverse=True)
+        return SparseVector(dims, at, np.bincount(of, times, len(at)))
+
+    return count
+
+
+class CharCounts(Transformer):
+    """Text column to ``char_counts``."""
+
+    def __init__(self, col: str, out: str, n: int, dims: int):
+        super().__init__()
+        self.col, self.out, self.counts = col, out, F.udf(char_counts(n, dims), VectorUDT())
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(self.out, self.counts(F.col(self.col)))
+
+
 def char_features(col: str, out: str = "features", n: int = 2, dims: int = 1 << 14) -> list:
     """Hashed character n-grams of the whole text, weighted by inverse document frequency."""
-    return [
-        RegexTokenizer(inputCol=col, outputCol="_chars", pattern="", minTokenLength=1), NGram(n=n, inputCol="_chars", outputCol="_grams"),
-        HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=dims), IDF(inputCol="_tf", outputCol=out),
-    ]
+    return [CharCounts(col, "_tf", n, dims), IDF(inputCol="_tf", outputCol=out)]
 
 
 def fit_text_classifier(df: DataFrame, text: str, label: str, max_iter: int = 10) -> PipelineModel:
