@@ -90,7 +90,7 @@ def _murmur(data: bytes, seed: int = 42) -> int:
 def char_counts(n: int, dims: int, room: int = 1 << 18) -> Callable[[str], SparseVector]:
     """Counts of a text's character n-grams (up to 4 UTF-16 units, lower case) at the places of ``RegexTokenizer``, ``NGram`` and ``HashingTF``.
 
-    A text's units are counted at once and each n-gram is hashed once a task, so no character becomes a string.
+    A text's units are counted at once and each n-gram is hashed once a task, so no character becomes a string. Null has none.
     """
     memo: dict[int, int] = {}
 
@@ -99,7 +99,7 @@ def char_counts(n: int, dims: int, room: int = 1 << 18) -> Callable[[str], Spars
         return _murmur(" ".join(units).encode()) % dims
 
     def count(text):
-        u = np.frombuffer(text.lower().encode("utf-16-le"), "<u2").astype(np.uint64)
+        u = np.frombuffer((text or "").lower().encode("utf-16-le"), "<u2").astype(np.uint64)
         u[(u >= 0xD800) & (u < 0xE000)] = ord("?")  # half a character is none
         m = max(0, len(u) - n + 1)
         code = np.zeros(m, np.uint64)

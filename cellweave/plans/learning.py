@@ -202,9 +202,10 @@ def text_classes(spark, sf):
 
 @query
 def score_two_columns(spark, sf):
-    """One text model scored on two columns of an order: names, top and all probabilities."""
-    d = _texts(spark, sf).withColumn("y", F.concat(F.lit("c"), F.format_string("%02d", F.col("doc_id") % 12))).persist()
-    m = L.fit_text_classifier(d.select(F.col("text").alias("address"), "y"), "address", "y", max_iter=3)
+    """One text model of all documents scored on two columns of each: classes, names, top and all probabilities."""
+    d = X.table(spark, sf, "documents").select("doc_id", "text", F.concat(F.lit("c"), F.format_string("%02d", F.col("doc_id") % 12)).alias("y")).persist()
+    m = L.fit_text_classifier(d.select(F.col("text").alias("address"), "y").where("address IS NOT NULL AND y IS NOT NULL"), "address", "y")
     two = d.select("doc_id", F.col("text").alias("sender"), F.reverse("text").alias("recipient"))
     r = L.score_columns(m, two, ["sender", "recipient"], "address", L.SCENES)
-    return r.select("doc_id", "sender_scene_name", "sender_scene_pro", "recipient_scene_name", "recipient_scene_pro", F.size("recipient_scene_pro_list").alias("n_classes"))
+    found = [f"{c}_scene_{v}" for c in ("sender", "recipient") for v in ("id", "name", "pro", "pro_list")]
+    return r.select("doc_id", *found, F.size("recipient_scene_pro_list").alias("n_classes"))
