@@ -1,6 +1,10 @@
 """Whole tables scored, places counted by tile, pairs measured by tile: each against a plain version."""
 
+import random
+
 import __spark_entry__ as entry
+from cellweave.operators import components
+from cellweave.operators.components import connected_components
 
 
 def test_two_columns_are_scored_for_every_document(spark, tmp_path):
@@ -12,3 +16,20 @@ def test_two_columns_are_scored_for_every_document(spark, tmp_path):
     for r in rows:
         for name, top, every in ((r.sender_scene_name, r.sender_scene_pro, r.sender_scene_pro_list), (r.recipient_scene_name, r.recipient_scene_pro, r.recipient_scene_pro_list)):
             assert name and len(every) == r.n_classes == 12 and max(every) == top and abs(sum(every) - 1) < 0.01
+
+
+def test_few_edges_are_solved_like_many(spark):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(300)] + [(-5, 2000), (2000, 2000), (None, 3), (-5, 3000)]
+    d = spark.createDataFrame(pairs, "u long, v long").repartition(5)
+    want = {(r.node, r.component) for r in connected_components(d, few=0).collect()}
+    got = connected_components(d).collect()
+    assert {(r.node, r.component) for r in got} == want and len(got) == len(want) > 500
+    assert not connected_components(d.where("u = v")).collect()
+
+
+def test_few_edges_need_no_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(components, "cut_lineage", lambda df, f=components.cut_lineage: rounds.append(1) or f(df))
+    connected_components(spark.createDataFrame([(i, i + 1) for i in range(200)], "u long, v long")).count()
+    assert len(rounds) <= 2
