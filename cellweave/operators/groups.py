@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells as C
 from ..functions import geometry as G
+from . import points as P
 from . import spatial as S
 
 
@@ -55,17 +56,13 @@ def cells_as_shapes(cells: DataFrame, col: str) -> DataFrame:
     return S.with_edges(d.select((F.col("d.lat") * F.pow(F.lit(2.0), F.col("d.lon_bits") + 1).cast("long") + F.col("d.lon")).alias("id"), G.single_ring(ring).alias("rings")))
 
 
-def pixel_heat(points: DataFrame, rows: int, cols: int) -> DataFrame:
-    """Points (id, x, y and the box of the id) per pixel of the grid around the box."""
-    p = points
-    box = tuple(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))
-    p = p.select("id", C.pixel_index(F.col("x"), F.col("y"), box, rows, cols).alias("p")).where("p IS NOT NULL")
-    return p.groupBy("id", F.col("p.row").alias("row"), F.col("p.col").alias("col")).agg(F.count("*").alias("heat"))
+def pixel_heat(points: DataFrame, pieces: DataFrame, rows: int, cols: int) -> DataFrame:
+    """Points (x, y) per pixel of the grid around the box of the piece they lie in."""
+    return P.count_pixels(points, pieces, rows, cols)
 
 
 def piece_heat(points: DataFrame, pieces: DataFrame) -> DataFrame:
-    hits = S.points_in(points, pieces).groupBy(F.col("r_id").alias("id")).agg(F.count("*").alias("n"))
-    return pieces.select("id").join(hits, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("heat"))
+    return pieces.select("id").join(P.count_inside(points, pieces), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("heat"))
 
 
 def argmax(df: DataFrame, key: str, by: list[Column], cols: list[str]) -> DataFrame:

@@ -1,9 +1,12 @@
 """Whole tables scored, places counted by tile, pairs measured by tile: each against a plain version."""
 
+import math
 import random
 
 import __spark_entry__ as entry
-from cellweave.operators import components
+from cellweave.operators import components, points
+from cellweave.operators import groups as R
+from cellweave.operators import spatial as S
 from cellweave.operators.components import connected_components
 
 
@@ -33,3 +36,39 @@ def test_few_edges_need_no_rounds(spark, monkeypatch):
     monkeypatch.setattr(components, "cut_lineage", lambda df, f=components.cut_lineage: rounds.append(1) or f(df))
     connected_components(spark.createDataFrame([(i, i + 1) for i in range(200)], "u long, v long")).count()
     assert len(rounds) <= 2
+
+
+def square(x, y, r, hole=False):
+    ring = lambda d: "(" + ", ".join(f"{x + a * d} {y + b * d}" for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))) + ")"
+    return f"POLYGON ({ring(r)}{', ' + ring(r / 2) if hole else ''})"
+
+
+def plain_inside(x, y, edges):
+    return sum((e.y1 > y) != (e.y2 > y) and x < (e.x2 - e.x1) * (y - e.y1) / (e.y2 - e.y1) + e.x1 for e in edges) % 2 == 1
+
+
+def test_points_are_counted_as_one_by_one(spark):
+    rng = random.Random(8)
+    areas = [(k, square(116 + rng.random() * 0.02, 40 + rng.random() * 0.02, rng.choice([0.0002, 0.002, 0.006]), k % 3 == 0)) for k in range(25)]
+    areas += [(3, square(116.01, 40.01, 0.004)), (90, "POLYGON ((116 40, 116.02 40.001, 116.001 40.018, 116 40))"), (91, square(120, 45, 0.01))]
+    pts = [(116 + rng.random() * 0.02, 40 + rng.random() * 0.02) for _ in range(3000)] + [(116.01, 40.01)] * 700 + [(None, 40.0)]
+    d, a = spark.createDataFrame(pts, "x double, y double"), S.shapes(spark.createDataFrame(areas, "id long, polygon string"), "id", "polygon")
+    shapes = a.select("id", "edges", "xmin", "ymin", "xmax", "ymax").collect()
+    want, pixels = {}, {}
+    for s in shapes:
+        for x, y in pts[:-1]:
+            if plain_inside(x, y, s.edges):
+                want[s.id] = want.get(s.id, 0) + 1
+                at = [200 + (1 if v > m else -1) * math.ceil(abs(v - m) / per - 0.5) for v, m, per in ((y, (s.ymin + s.ymax) / 2, points.LAT_PER_METER), (x, (s.xmin + s.xmax) / 2, points.LNG_PER_METER))]
+                if all(0 <= v < 400 for v in at):
+                    pixels[(s.id, *at)] = pixels.get((s.id, *at), 0) + 1
+    got = [(r.id, r.heat) for r in R.piece_heat(d, a).collect()]
+    assert sorted(got) == sorted((s.id, want.get(s.id, 0)) for s in shapes) and max(want.values()) > 700
+    assert {(r.id, r.row, r.col): r.heat for r in R.pixel_heat(d, a, 400, 400).collect()} == pixels
+
+
+def test_points_meet_areas_in_blocks(spark):
+    d = spark.range(20000).selectExpr("116 + id % 141 / 14100D AS x", "40 + id % 139 / 13900D AS y")
+    a = S.shapes(spark.createDataFrame([(1, square(116.005, 40.005, 0.005))], "id long, polygon string"), "id", "polygon")
+    met = points._meetings(d, a)
+    assert met.count() < 1000 < met.selectExpr("sum(size(px)) AS n").first().n
