@@ -3,6 +3,8 @@
 import math
 import random
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from cellweave.operators import components, points
 from cellweave.operators import groups as R
@@ -72,3 +74,34 @@ def test_points_meet_areas_in_blocks(spark):
     a = S.shapes(spark.createDataFrame([(1, square(116.005, 40.005, 0.005))], "id long, polygon string"), "id", "polygon")
     met = points._meetings(d, a)
     assert met.count() < 1000 < met.selectExpr("sum(size(px)) AS n").first().n
+
+
+def test_pairs_beyond_reach_are_left_out_where_they_are_measured(spark):
+    rng = random.Random(11)
+    areas = [(k, square(116 + rng.random() * 0.03, 40 + rng.random() * 0.03, rng.choice([0.0003, 0.001, 0.003]), k % 4 == 0)) for k in range(70)]
+    a = S.shapes(spark.createDataFrame(areas, "id long, polygon string"), "id", "polygon")
+    pairs = S.candidates(a, a, pad_m=600.0, extra=("area", "edges"), self_join="lt")
+    every = {tuple(r) for r in S.pair_distance(pairs, a, a).where("dist_meter <= 600").collect()}
+    assert {tuple(r) for r in S.pair_distance(pairs, a, a, within=600.0).collect()} == every and len(every) > 100
+    assert S.measured_pairs(pairs, "distance", within=600.0).count() < S.measured_pairs(pairs, "distance").count()
+
+
+def test_ways_from_points_to_outlines(spark):
+    rng = random.Random(12)
+    areas = [(k, square(116 + rng.random() * 0.03, 40 + rng.random() * 0.03, 0.002, k % 2 == 0)) for k in range(20)]
+    a = S.shapes(spark.createDataFrame(areas, "id long, polygon string"), "id", "polygon").withColumn("c", S.G.xy(F.col("xmax"), F.col("ymin") - 0.0004))
+    shapes = {r.id: r for r in a.collect()}
+
+    def gap(c, edges):
+        kx, ky = math.cos(math.radians(c.y)) * S.G.METRES_PER_DEGREE, S.G.METRES_PER_DEGREE
+        out = []
+        for e in edges:
+            dx, dy, qx, qy = (e.x2 - e.x1) * kx, (e.y2 - e.y1) * ky, (c.x - e.x1) * kx, (c.y - e.y1) * ky
+            u = min(1.0, max(0.0, (qx * dx + qy * dy) / (dx * dx + dy * dy)))
+            out.append(math.hypot(qx - u * dx, qy - u * dy))
+        return 0.0 if plain_inside(c.x, c.y, edges) else min(out)
+
+    rows = S.pair_distance(S.candidates(a, a, pad_m=1000.0, extra=("area", "edges", "c"), self_join="lt"), a, a, 1000.0, "c").collect()
+    assert len(rows) > 20 and {True, False} == {r.l_gap == 0 for r in rows}
+    for r in rows:
+        assert abs(r.l_gap - gap(r.l_c, shapes[r.r_id].edges)) < 1e-6 and abs(r.r_gap - gap(r.r_c, shapes[r.l_id].edges)) < 1e-6
